@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language_id import op1_language_id
 from .packing import op2_packing
+from .secrets import op3_secrets
 from .quality import op6_quality
 from .sharding import op9_sharding
 from .url_filter import op8_url_filters
@@ -11,6 +12,7 @@ from .url_filter import op8_url_filters
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op3_secrets": op3_secrets,
     "op6_quality": op6_quality,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
