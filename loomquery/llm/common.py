@@ -86,4 +86,4 @@ def fresh_name(df: DataFrame, base: str) -> str:
 
 def size_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, used to decide whether a side may be broadcast."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

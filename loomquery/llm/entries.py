@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
+from .line_dedup import op10_line_dedup
 from .packing import op2_packing
 from .secrets import op3_secrets
 from .quality import op6_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB cannot express any of these methods.
