@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontaminate
 from .jaccard_join import op4_jaccard_join
 from .language_id import op1_language_id
 from .line_dedup import op10_line_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,

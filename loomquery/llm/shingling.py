@@ -16,6 +16,8 @@ CHUNK_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _FOLD = bytes(0x20 if i in (0x20, *range(0x09, 0x0E)) else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
+#: Also turns ASCII punctuation into blanks.
+ALPHANUMERIC = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in _FOLD)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -55,11 +57,12 @@ def chunks(bodies: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 class Words:
     """All words of a run of documents: hashes, and where each document's words begin.
 
-    Bytes A-Z are lower-cased; words are runs of bytes other than blank and 0x09-0x0D.
+    Bytes A-Z are lower-cased; words are runs of bytes other than blank and 0x09-0x0D,
+    unless another folding to blanks is given.
     """
 
-    def __init__(self, bodies: list[bytes]):
-        data = np.frombuffer(b" ".join([*bodies, b""]).translate(_FOLD), dtype=np.uint8)
+    def __init__(self, bodies: list[bytes], fold: bytes = _FOLD):
+        data = np.frombuffer(b" ".join([*bodies, b""]).translate(fold), dtype=np.uint8)
         filled = np.concatenate(([False], data != 0x20, [False]))
         edges = np.flatnonzero(filled[1:] != filled[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
