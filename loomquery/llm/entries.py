@@ -10,6 +10,7 @@ from .packing import op2_packing
 from .secrets import op3_secrets
 from .quality import op6_quality
 from .sharding import op9_sharding
+from .topk_search import op7_topk_search
 from .url_filter import op8_url_filters
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
+    "op7_topk_search": op7_topk_search,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
