@@ -115,7 +115,8 @@ class ImpactBlock:
         self.left = {}  # norm of a vector's postings below each level
         for level in self.levels:
             rest = np.where(self.level < level, self.dense, 0.0)
-            self.left[level] = np.sqrt((rest * rest).sum(axis=1))
+            with np.errstate(over="ignore"):  # a norm that is no number proves nothing
+                self.left[level] = np.sqrt((rest * rest).sum(axis=1))
 
     def segment(self, level: int) -> np.ndarray:
         return np.where(self.level == level, self.dense, 0.0)
