@@ -154,3 +154,27 @@ def redo_undo(log: DataFrame) -> DataFrame:
     won = writes.join(committed, "txn", "left_semi").groupBy("item").agg(F.max_by("after", "lsn").alias("redone"), F.lit(True).alias("won"))
     start = writes.groupBy("item").agg(F.min_by("before", "lsn").alias("original"))
     return start.join(won, "item", "left").select("item", F.when(F.col("won"), F.col("redone")).otherwise(F.col("original")).alias("value"))
+
+
+def first_committer_losers(transactions: DataFrame, writes: DataFrame) -> DataFrame:
+    """First committer wins: transactions (txn, started, committed) that must abort, because one that ran at the same time
+    and committed earlier wrote one of their items."""
+    mine = writes.select("txn", "item").distinct().join(transactions, "txn")
+    earlier = mine.select(F.col("txn").alias("winner"), "item", F.col("committed").alias("won"))
+    clash = (F.col("winner") != F.col("txn")) & (F.col("won") > F.col("started")) & (F.col("won") < F.col("committed"))
+    return mine.join(earlier, "item").filter(clash).select("txn").distinct()
+
+
+def nonrepeatable_reads(schedule: DataFrame) -> DataFrame:
+    """(txn, item) read more than once with different last writers, the later one another transaction."""
+    reads = last_writer(schedule).withColumn("seen", F.coalesce("writer", F.lit(-1)))
+    again = Window.partitionBy("txn", "item").orderBy("seq")
+    changed = (F.col("seen") != F.lag("seen").over(again)) & (F.col("seen") != F.col("txn"))
+    return reads.withColumn("changed", changed).filter("changed").select("txn", "item").distinct()
+
+
+def dirty_reads(schedule: DataFrame) -> DataFrame:
+    """Reads (seq, txn, item, writer) of a value whose writer, another transaction, had not committed by then."""
+    commits = schedule.filter("op = 'COMMIT'").groupBy(F.col("txn").alias("writer")).agg(F.min("seq").alias("committed"))
+    reads = reads_from(schedule).filter("writer is not null and writer != txn").join(commits, "writer", "left")
+    return reads.filter(F.col("committed").isNull() | (F.col("committed") > F.col("seq"))).select("seq", "txn", "item", "writer")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
@@ -402,6 +402,11 @@ def _schedule(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 40).alias("txn"), op.alias("op"), F.col("user_id").alias("item"))
 
 
+def _as_of(spark: SparkSession, sf: str) -> Column:
+    """A timestamp at three fifths of the history."""
+    return F.lit(table(spark, sf, "events").agg(F.max("event_id")).first()[0] * 6 // 10)
+
+
 _SCHEDULE_SQL = "SELECT event_id AS seq, event_id % 40 AS txn, CASE WHEN event_id % 3 = 0 THEN 'WRITE' ELSE 'READ' END AS op, user_id AS item FROM events"
 
 
@@ -416,24 +421,24 @@ def recoverability_readsfrom(spark, sf):
     return schedules.last_writer(_schedule(spark, sf))
 
 
-@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events WHERE event_id <= 600) WHERE r = 1")
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events WHERE event_id <= (SELECT max(event_id) * 6 // 10 FROM events)) WHERE r = 1")
 def mvcc_snapshot_read(spark, sf):
     versions = table(spark, sf, "events").select("user_id", "event_id", "value")
-    return schedules.snapshot_read(versions, "user_id", "event_id", F.lit(600))
+    return schedules.snapshot_read(versions, "user_id", "event_id", _as_of(spark, sf))
 
 
-@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events WHERE event_id <= 600 AND (event_id % 5 <> 0 OR user_id = 3)) WHERE r = 1")
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events WHERE event_id <= (SELECT max(event_id) * 6 // 10 FROM events) AND (event_id % 5 <> 0 OR user_id = 3)) WHERE r = 1")
 def mvto_read(spark, sf):
     versions = table(spark, sf, "events").select("user_id", "event_id", "value")
-    return schedules.snapshot_read(versions, "user_id", "event_id", F.lit(600), (F.col("event_id") % 5 != 0) | (F.col("user_id") == 3))
+    return schedules.snapshot_read(versions, "user_id", "event_id", _as_of(spark, sf), (F.col("event_id") % 5 != 0) | (F.col("user_id") == 3))
 
 
-@query("""WITH c AS (SELECT user_id, max(event_id) now FROM events GROUP BY user_id), o AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id <= 600 GROUP BY user_id)
+@query("""WITH c AS (SELECT user_id, max(event_id) now FROM events GROUP BY user_id), o AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id <= (SELECT max(event_id) * 6 // 10 FROM events) GROUP BY user_id)
     SELECT o.user_id, o.event_id FROM o JOIN c USING (user_id) WHERE o.event_id IS DISTINCT FROM c.now""")
 def occ_validation(spark, sf):
     events = table(spark, sf, "events").select("user_id", "event_id")
     current = events.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    observed = events.filter("event_id <= 600").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    observed = events.filter(F.col("event_id") <= _as_of(spark, sf)).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
     return schedules.stale_reads(observed, current, "user_id", "event_id").select("user_id", "event_id")
 
 
@@ -560,3 +565,72 @@ def huffman_weights(spark, sf):
 @query("SELECT user_id, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY user_id HAVING count(*) > 0")
 def upsert_sum(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("""WITH b AS (SELECT min(p_size)::BIGINT lo, max(p_size)::BIGINT hi FROM part), w AS (SELECT lo, hi, (hi - lo + 1 + 6) // 7 width FROM b),
+    e AS (SELECT lo + k * width AS low, least(lo + (k + 1) * width - 1, hi) AS high FROM (SELECT unnest(range(7)) k), w WHERE lo + k * width <= hi),
+    h AS (SELECT low, high, (SELECT count(*) FROM part WHERE p_size BETWEEN low AND high) AS n FROM e)
+    SELECT round(sum(n * greatest(0, least(19, high) - greatest(11, low) + 1)::DOUBLE / (high - low + 1)), 6) AS estimate FROM h""")
+def est_histogram(spark, sf):
+    buckets = [(r["low"], r["high"], r["n"]) for r in statistics.equi_width_histogram(table(spark, sf, "part"), "p_size", 7).collect()]
+    return _one_row(spark, estimate=round(estimates.histogram_range(buckets, 10, 20), 6))
+
+
+_NEAR = "SELECT event_id AS seq, event_id // 40 + event_id % 2 AS txn, CASE WHEN event_id % 3 = 0 THEN 'WRITE' ELSE 'READ' END AS op, user_id AS item FROM events"
+
+
+@query(f"""WITH RECURSIVE s AS ({_NEAR}), e AS (SELECT DISTINCT a.txn x, b.txn y FROM s a JOIN s b ON a.item = b.item AND a.txn <> b.txn AND a.seq < b.seq AND (a.op = 'WRITE' OR b.op = 'WRITE')),
+    r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x FROM r WHERE x = y), up AS (SELECT DISTINCT x AS n FROM r WHERE y IN (SELECT x FROM c)),
+    down AS (SELECT DISTINCT y AS n FROM r WHERE x IN (SELECT x FROM c)) SELECT n AS node FROM up WHERE n IN (SELECT n FROM down)""")
+def schedule_cycles(spark, sf):
+    """Transactions of 40 operations, each interleaved with the next."""
+    near = _schedule(spark, sf).withColumn("txn", F.expr("seq div 40 + seq % 2"))
+    return schedules.cyclic_nodes(schedules.conflict_edges(near))
+
+
+@query(f"""WITH s AS ({_SCHEDULE_SQL}), w AS (SELECT *, coalesce(last_value(CASE WHEN op = 'WRITE' THEN txn END IGNORE NULLS) OVER (PARTITION BY item ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM s),
+    l AS (SELECT *, lag(seen) OVER (PARTITION BY txn, item ORDER BY seq) AS prev FROM w WHERE op = 'READ') SELECT DISTINCT txn, item FROM l WHERE seen <> prev AND seen <> txn""")
+def iso_nonrepeatable_reads(spark, sf):
+    return schedules.nonrepeatable_reads(_schedule(spark, sf))
+
+
+@query(f"""WITH s AS ({_SCHEDULE_SQL}), t AS (SELECT txn, min(seq) AS started, max(seq) AS committed FROM s GROUP BY txn), w AS (SELECT DISTINCT txn, item, started, committed FROM s JOIN t USING (txn) WHERE op = 'WRITE')
+    SELECT DISTINCT a.txn FROM w a JOIN w b ON a.item = b.item AND a.txn <> b.txn AND b.committed > a.started AND b.committed < a.committed""")
+def ssi_first_committer(spark, sf):
+    s = _schedule(spark, sf)
+    runs = s.groupBy("txn").agg(F.min("seq").alias("started"), F.max("seq").alias("committed"))
+    return schedules.first_committer_losers(runs, s.filter("op = 'WRITE'"))
+
+
+@query(f"""WITH s AS ({_SCHEDULE_SQL}), e AS (SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM s r JOIN s w ON r.item = w.item AND r.txn <> w.txn AND r.op = 'READ' AND w.op = 'WRITE' AND w.item * 7 % 50 BETWEEN 10 AND 30 AND r.txn < 20)
+    SELECT DISTINCT writer AS txn FROM e WHERE writer IN (SELECT reader FROM e)""")
+def ssi_pivots(spark, sf):
+    s = _schedule(spark, sf)
+    reads = s.filter("op = 'READ' and txn < 20").select("txn", "item", F.lit(10).alias("low"), F.lit(30).alias("high")).distinct()
+    writes = s.filter("op = 'WRITE'").select("txn", "item", (F.col("item") * 7 % 50).alias("value")).distinct()
+    return schedules.dangerous_pivots(schedules.predicate_edges(reads, writes))
+
+
+@query("""WITH o AS (SELECT event_id AS seq, user_id AS key, event_type AS value, event_id % 7 = 0 AS put FROM events), p AS (SELECT *, count(*) FILTER (put) OVER (PARTITION BY key ORDER BY seq) AS epoch FROM o),
+    m AS (SELECT key, max(epoch) AS epoch FROM p GROUP BY key) SELECT key, string_agg(value, '' ORDER BY seq) AS value FROM p JOIN m USING (key, epoch) GROUP BY key""")
+def kv_put_append(spark, sf):
+    op = F.when(F.col("event_id") % 7 == 0, "PUT").otherwise("APPEND")
+    return requests.key_value_state(table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), op.alias("op"), F.col("event_type").alias("value")))
+
+
+@query("""WITH l AS (SELECT event_id AS lsn, event_id % 40 AS txn, user_id AS item, event_type AS after, 'start' AS before FROM events), w AS (SELECT item, arg_max(after, lsn) AS redone FROM l WHERE txn % 3 <> 0 GROUP BY item)
+    SELECT item, coalesce(redone, 'start') AS value FROM (SELECT DISTINCT item FROM l) LEFT JOIN w USING (item)""")
+def log_redo_undo(spark, sf):
+    events = table(spark, sf, "events")
+    writes = events.select(F.col("event_id").alias("lsn"), (F.col("event_id") % 40).alias("txn"), F.lit("WRITE").alias("op"), F.col("user_id").alias("item"), F.lit("start").alias("before"), F.col("event_type").alias("after"))
+    ends = spark.range(40).filter("id % 3 != 0").select((F.lit(10**9) + F.col("id")).alias("lsn"), F.col("id").alias("txn"), F.lit("COMMIT").alias("op"))
+    return schedules.redo_undo(writes.unionByName(ends, allowMissingColumns=True))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS x, n_regionkey AS y FROM nation UNION SELECT DISTINCT n_regionkey, (n_nationkey * 3) % 25 FROM nation),
+    r AS (SELECT 24 AS state, 0 AS distance UNION SELECT e.y, r.distance + 1 FROM r JOIN e ON r.state = e.x WHERE r.distance < 4) SELECT state, min(distance) AS distance FROM r GROUP BY state""")
+def state_search(spark, sf):
+    nation = table(spark, sf, "nation")
+    steps = nation.select(F.col("n_nationkey").alias("state"), F.col("n_regionkey").alias("next")).union(nation.select("n_regionkey", (F.col("n_nationkey") * 3) % 25)).distinct()
+    start = spark.createDataFrame([(24,)], "state int")
+    return requests.reachable_states(start, steps, 4)

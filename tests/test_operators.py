@@ -2,7 +2,6 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from loomquery.operators import encodings, requests, schedules, text_index, vectors
 from loomquery.operators.aggregates import aggregate
@@ -135,4 +134,16 @@ def test_joins_and_aggregates(spark):
     assert aggregate(left, [], {"low": ("MIN", "x"), "n": ("COUNT", "k")}).first().asDict() == {"low": "a", "n": 3}
     with pytest.raises(ValueError):
         equi_join(left, right, ["k"], "magic")
-    assert F is not None
+
+
+def test_anomalies(spark):
+    assert [tuple(r) for r in schedules.dirty_reads(schedule(spark, "w1x r2x c1 c2")).select("txn", "item", "writer").collect()] == [(2, "x", 1)]
+    assert schedules.dirty_reads(schedule(spark, "w1x c1 r2x c2")).isEmpty()
+    assert [tuple(r) for r in schedules.nonrepeatable_reads(schedule(spark, "r1x w2x c2 r1x r1y r1y c1")).collect()] == [(1, "x")]
+    assert schedules.nonrepeatable_reads(schedule(spark, "r1x w1x r1x c1")).isEmpty()
+
+
+def test_first_committer_wins(spark):
+    runs = spark.createDataFrame([(1, 0, 10), (2, 5, 8), (3, 11, 12), (4, 0, 20)], "txn long, started long, committed long")
+    writes = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "y")], "txn long, item string")
+    assert [r["txn"] for r in schedules.first_committer_losers(runs, writes).collect()] == [1]
