@@ -40,6 +40,7 @@ END_ID = 0
 class PackOptions:
     capacity: int = 2048
     slack: int = 4  #: a bin with at most so much room left is nearly full
+    local_bytes: int = 16 << 20  #: about so many bytes of items are packed at once; a larger partition is packed in several runs
     fan_in: int = 16
     carry: int = 4096
 
@@ -61,9 +62,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(path)
+        self.path, self.full = path, None  # the tokenizer is loaded when a text needs it
         self.fast = None
         self.plain = re.compile(r"[^\x00-ɏ]|<\|")
         ranks_path = path.removesuffix(".json") + ".tiktoken"
@@ -81,6 +80,10 @@ class Encoder:
         if self.fast is not None and not self.plain.search(text):
             found = self.fast.encode_ordinary(text)
         else:
+            if self.full is None:
+                from tokenizers import Tokenizer
+
+                self.full = Tokenizer.from_file(self.path)
             found = self.full.encode(text, add_special_tokens=False).ids
         return np.fromiter(found, dtype="<u4", count=len(found))
 
@@ -91,9 +94,17 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = 20
     ``ids`` is binary, unsigned 32-bit little-endian.  Only documents longer than
     ``capacity`` are cut; the first piece takes the remainder.
     """
-    path = tokenizer_path() if path is None else path
     rows = docs.select(F.col(id_col), F.col(text_col))
     id_type = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(_cutter(path, capacity, id_col), _PIECE.format(id_col=id_col, id_type=id_type))
+
+
+_PIECE = "`{id_col}` {id_type}, piece int, start long, length long, ids binary"
+
+
+def _cutter(path: str | None, capacity: int, id_col: str):
+    """From batches of (id, text) to batches of pieces."""
+    path = tokenizer_path() if path is None else path
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -128,7 +139,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = 20
             if owner:
                 yield emit()
 
-    return rows.mapInArrow(cut, f"`{id_col}` {id_type}, piece int, start long, length long, ids binary")
+    return cut
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,28 +173,51 @@ def best_fit_pack(items: DataFrame, length_col: str = "length", options: PackOpt
     clash = {"sequence_id", "offset"} & {c.lower() for c in items.columns}
     if clash:
         raise ValueError(f"columns clash with the result's: {sorted(clash)}")
-    at = items.columns.index(length_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    capacity, slack = options.capacity, options.slack
+    packed = items.mapInArrow(_local_packer(items.columns.index(length_col), options), f"{fields}, {_PLACE}")
+    return _merged(materialise(packed, "packed"), items.columns, options)
+
+
+_PLACE = "__bin long, __at long, __filled long, __part int"
+
+
+def _local_packer(at: int, options: PackOptions):
+    """From batches of items, whose column ``at`` is the length, to the same with each item's place in its partition's bins."""
+    capacity = options.capacity
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held = [b for b in batches if b.num_rows]  # one input partition, whose size Spark bounds
-        if not held:
-            return
+        held, size, used = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > options.local_bytes:
+                used += yield from pack(held, part, used)
+                held, size = [], 0
+        if held:
+            yield from pack(held, part, used)
+
+    def pack(held: list[pa.RecordBatch], part: int, used: int):
         lengths = np.concatenate([b.column(at).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
         if lengths.min() < 1 or lengths.max() > capacity:
             raise ValueError("an item's length lies outside 1..capacity")
         bins, offsets, filled = best_fit(lengths, capacity)
-        first = (part << 33) + bins
+        first = (part << 33) + used + bins
         done = 0
         for b in held:
-            part_of = slice(done, done + b.num_rows)
+            rows = slice(done, done + b.num_rows)
             done += b.num_rows
-            extra = [pa.array(first[part_of]), pa.array(offsets[part_of]), pa.array(filled[bins[part_of]]), pa.array(np.full(b.num_rows, part, dtype=np.int32))]
+            extra = [pa.array(first[rows]), pa.array(offsets[rows]), pa.array(filled[bins[rows]]), pa.array(np.full(b.num_rows, part, dtype=np.int32))]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "__bin", "__at", "__filled", "__part"])
+        return len(filled)
+
+    return local
 
-    packed = materialise(items.mapInArrow(local, f"{fields}, __bin long, __at long, __filled long, __part int"), "packed")
+
+def _merged(packed: DataFrame, columns: list[str], options: PackOptions) -> DataFrame:
+    """The tree: merges the open bins of locally packed items and gives each item its final place."""
+    capacity, slack = options.capacity, options.slack
     shape = packed.agg(F.max("__part").alias("parts")).first()
     open_bins = (
         packed.filter(F.col("__filled") < capacity - slack)
@@ -201,10 +235,10 @@ def best_fit_pack(items: DataFrame, length_col: str = "length", options: PackOpt
         final = level.filter(~F.col("open") | F.lit(nodes == 1))
         closed = final if closed is None else closed.unionByName(final)
     if closed is None:
-        return packed.select(*items.columns, F.col("__bin").alias("sequence_id"), F.col("__at").alias("offset"))
+        return packed.select(*columns, F.col("__bin").alias("sequence_id"), F.col("__at").alias("offset"))
     places = closed.select("__bin", "root", "base")
     return packed.join(places, "__bin", "left").select(
-        *items.columns,
+        *columns,
         F.coalesce("root", "__bin").alias("sequence_id"),
         (F.col("__at") + F.coalesce("base", F.lit(0))).alias("offset"),
     )
@@ -234,7 +268,12 @@ def _merger(options: PackOptions):
 
 def pack_documents(docs: DataFrame, path: str | None = None, options: PackOptions = PackOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packed pieces with their token ids: id, piece, start, length, ids, sequence_id, offset."""
-    return best_fit_pack(tokenize_pieces(docs, path, options.capacity, id_col, text_col), options=options)
+    rows = docs.select(F.col(id_col), F.col(text_col))
+    id_type = rows.schema[0].dataType.simpleString()
+    cut, local = _cutter(path, options.capacity, id_col), _local_packer(3, options)
+    schema = f"{_PIECE.format(id_col=id_col, id_type=id_type)}, {_PLACE}"
+    packed = rows.mapInArrow(lambda batches: local(cut(batches)), schema)  # in one pass, so the ids go to the JVM once
+    return _merged(materialise(packed, "packed"), [id_col, "piece", "start", "length", "ids"], options)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

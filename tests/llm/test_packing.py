@@ -55,7 +55,7 @@ def test_own_tables(spark, sf_dir, tokenizer):
         assert at == len(ids)
 
 
-@pytest.mark.parametrize("options", [PackOptions(), PackOptions(capacity=100, slack=0, fan_in=2, carry=3), PackOptions(capacity=50, slack=10, fan_in=3)])
+@pytest.mark.parametrize("options", [PackOptions(), PackOptions(capacity=100, slack=0, fan_in=2, carry=3, local_bytes=900), PackOptions(capacity=50, slack=10, fan_in=3)])
 def test_any_lengths_pack_without_loss(spark, options):
     rng = random.Random(4)
     items = [(i, rng.choice((1, options.capacity, options.capacity // 2 + 1, rng.randint(1, options.capacity)))) for i in range(700)]
