@@ -45,7 +45,7 @@ class ProfileOptions:
     profile_size: int = 400  #: n-grams in a language's profile
     document_size: int = 300  #: n-grams of a document that are compared
     fit_documents: int = 20_000  #: about so many training documents a language, chosen by hash; a language with fewer gives all
-    chunk_chars: int = 1 << 20  #: characters counted at once, which bounds a worker's memory
+    chunk_chars: int = 1 << 18  #: characters counted at once, which bounds a worker's memory
 
 
 def _is_letter() -> np.ndarray:
@@ -209,8 +209,8 @@ def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             totals.clear()
             return out
 
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for some in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            langs, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 for _, _, grams in _chunks(own, options.chunk_chars, options.max_n):

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SHINGLE = 5
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
