@@ -4,7 +4,8 @@ Per host, paths become templates in two steps.  Lexically, runs of digits and
 hexadecimal ids turn into ``<n>`` and ``<h>``.  Then the tree is walked from the
 root down: the children of a node whose label mix (blocked, allowed, unlabelled) is
 near that of their siblings and no significant departure from it merge into a
-wildcard branch, as do rare children of a node with very many.  A template is rejected when the
+wildcard branch; rare children of a node with very many merge where all their pages
+have one label, into a branch for that label.  A template is rejected when the
 smoothed share of blocked pages among its labelled ones is high enough.  Rules
 label the pages; where a rule fits a page, the rule's own action is the verdict.
 
@@ -46,7 +47,7 @@ class Rule:
 @dataclass(frozen=True)
 class TreeOptions:
     max_depth: int = 8  #: levels; what lies deeper is one tail segment
-    max_children: int = 64  #: beyond so many children, the rare ones are wildcards
+    max_children: int = 64  #: beyond so many children, rare ones of one label merge
     rare_share: float = 0.01  #: what counts as rare there
     merge_below: float = 9.21  #: chi-square (2 degrees, 1 %) under which branches can be alike
     merge_distance: float = 0.2  #: and the largest difference of their label shares
@@ -128,15 +129,17 @@ def template_tree(labelled: DataFrame, options: TreeOptions = TreeOptions()) ->
         )
         rare = (F.col("k") > options.max_children) & (F.col("n") < options.rare_share * F.col("pn"))
         alike = (F.col("k") > 1) & (_chi_square() < options.merge_below) & (_distance() <= options.merge_distance)
+        pure = F.when(F.col("nb") == F.col("n"), "*block").when(F.col("na") == F.col("n"), "*allow").when(F.col("nu") == F.col("n"), "*none")
+        step = F.coalesce(F.when(alike, "*"), F.when(rare, pure), "segment")
         choice = (
             children.join(parents, ["host", "template"])
             .withColumns({"nu": F.col("n") - F.col("nb") - F.col("na"), "pu": F.col("pn") - F.col("pb") - F.col("pa")})
-            .select("host", "template", "segment", (rare | alike).alias("wild"))
+            .select("host", "template", "segment", step.alias("step"))
         )
         here = tree.withColumn("segment", segment)
         stepped = here.join(choice, ["host", "template", "segment"], "left")
         name = F.when(F.col("segment").isNull(), F.col("template")).otherwise(
-            F.concat("template", F.lit("/" if level else ""), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segment")))
+            F.concat("template", F.lit("/" if level else ""), "step")
         )
         tree = materialise(stepped.select("host", "lexical", name.alias("template"), "segments", "n", "nb", "na"), "tree")
     purity = (F.col("blocked") + options.prior * options.prior_weight) / (F.col("blocked") + F.col("allowed") + options.prior_weight)

@@ -70,3 +70,11 @@ def test_clashing_columns_and_empty_table(spark):
     frame = pages(spark, URLS).withColumnRenamed("html", "host")
     assert filter_urls(frame).count() == len(URLS)
     assert filter_urls(pages(spark, []).withColumnRenamed("html", "verdict")).count() == 0
+
+
+def test_rare_branches_merge_only_within_a_label(spark):
+    rows = [("h", f"/d{i}/<n>", None) for i in range(70) for _ in range(40)] + [("h", "/en/<n>", "block")] * 3 + [("h", f"/ok{i}/<n>", "allow") for i in range(3)]
+    tree = {r["lexical"]: r for r in template_tree(spark.createDataFrame(rows, "host string, lexical string, action string")).collect()}
+    assert {tree[f"/d{i}/<n>"]["verdict"] for i in range(70)} == {"allow"}
+    assert tree["/en/<n>"]["verdict"] == "block" and tree["/en/<n>"]["blocked"] == 3
+    assert len({tree[f"/ok{i}/<n>"]["template"] for i in range(3)}) == 1
