@@ -30,7 +30,9 @@ def conflict_edges(schedule: DataFrame) -> DataFrame:
 def cyclic_nodes(edges: DataFrame, before: str = "before", after: str = "after", max_rounds: int = 1000) -> DataFrame:
     """Nodes left after peeling off, round by round, all that lack a predecessor or a successor: empty iff there is no cycle.
 
-    The rest holds every cycle and the nodes on paths between cycles.
+    The rest holds every cycle and the nodes on paths between cycles.  An acyclic
+    chain loses a node at each end a round; one too long for ``max_rounds`` is an error,
+    as what is left then says nothing of cycles.
     """
     rest = edges.select(F.col(before).alias("x"), F.col(after).alias("y")).distinct()
     count = rest.count()
@@ -41,9 +43,9 @@ def cyclic_nodes(edges: DataFrame, before: str = "before", after: str = "after",
         rest = _cut(rest)
         left = rest.count()
         if left == count or not left:
-            break
+            return rest.select(F.col("x").alias("node")).distinct()
         count = left
-    return rest.select(F.col("x").alias("node")).distinct()
+    raise RuntimeError(f"cycles did not settle in {max_rounds} rounds")
 
 
 def _cut(df: DataFrame) -> DataFrame:

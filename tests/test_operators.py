@@ -147,3 +147,10 @@ def test_first_committer_wins(spark):
     runs = spark.createDataFrame([(1, 0, 10), (2, 5, 8), (3, 11, 12), (4, 0, 20)], "txn long, started long, committed long")
     writes = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "y")], "txn long, item string")
     assert [r["txn"] for r in schedules.first_committer_losers(runs, writes).collect()] == [1]
+
+
+def test_a_long_chain_is_no_cycle(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "before long, after long")
+    assert schedules.cyclic_nodes(chain).count() == 0
+    with pytest.raises(RuntimeError):
+        schedules.cyclic_nodes(chain, max_rounds=3)
