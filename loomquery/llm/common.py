@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, tuple[SparkSession, str]] = {}
+_PRIVATE: dict[str, str] = {}  # application: folder, in local mode without a setting
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +19,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, or a private one where that is unset (tests)."""
+    """Folder all executors share: ``spark.checkpoint.dir``, or a private one where that is unset and Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="loomquery-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE:
+        _PRIVATE[app] = "file://" + tempfile.mkdtemp(prefix="loomquery-")
+    return _PRIVATE[app]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -42,13 +46,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete one scratch table that no live DataFrame reads any more."""
-    if "/loomquery-" not in path:
-        raise ValueError(f"not a scratch path: {path}")
-    _delete(spark, path)
-
-
 @atexit.register
 def _clean() -> None:
     for spark, root in _ROOTS.values():
@@ -67,7 +64,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of written frames that nothing will read any more; other frames are left alone."""
+    for df in frames:
+        path = df.__dict__.pop("_scratch", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,6 +91,15 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def make_room(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with every column that has one of ``names`` renamed by trailing underscores."""
+    wanted = {n.lower() for n in names}
+    for column in df.columns:
+        if column.lower() in wanted:
+            df = df.withColumnRenamed(column, fresh_name(df, column + "_"))
+    return df
+
+
 def size_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, used to decide whether a side may be broadcast."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -20,11 +20,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     links = materialise(forth.unionByName(forth.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
     labels = materialise(links.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("component")), "labels")
     for _ in range(max_rounds):
+        before = labels
         near = links.join(labels.select(F.col("node").alias("other"), F.col("component").alias("their")), "other").groupBy("node").agg(F.min("their").alias("low"))
         step = materialise(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "low").alias("component")), "labels")
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         moved = materialise(step.join(jump, "component").select("node", F.col("further").alias("component"), (F.col("further") != F.col("was")).alias("moved")), "labels")
         labels = moved.select("node", "component")
+        labels._scratch = moved._scratch
+        release(before, step)
         if moved.filter("moved").isEmpty():
+            release(links)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
