@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOTS: dict[str, tuple[SparkSession, str]] = {}
 _PRIVATE: dict[str, str] = {}  # application: folder, in local mode without a setting
 
@@ -63,7 +64,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     does not compute it twice.
     """
     path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    if before is not None:  # the write's shuffle files are of no use once it is done
+        conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            conf.set(_CLEANUP, before)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._scratch = path
     return written
