@@ -1,14 +1,12 @@
 """Best-fit packing by hierarchical residuals.
 
 Every input partition packs its own pieces by best fit (longest first, each into
-the fullest bin that still holds it).  Bins that are nearly full become final
-sequences at once.  The others go up a tree: partitions are grouped ``fan_in`` at
-a time, the groups' open bins are packed again as items, and what is still open
-goes on to the next level, until one group is left.
-
-A group hands on at most ``carry`` open bins, the emptiest; the rest become
-final as they are.  That bounds every task at fan_in * carry bins and loses no
-piece: a bin that is not handed on is a sequence with a little more room left.
+the fullest bin that still holds it), run by run.  Bins that are nearly full become
+final sequences at once.  All others go up a tree: a level deals the open bins to
+nodes of about ``node_bins`` each, every node packs its bins again as items, and
+what is still open goes on to the next level, until one node holds all of them or a
+level finds nothing to merge.  No bin is closed for want of space in a task: the
+size of a task is set by the number of nodes.
 
 Only (bin, length) pairs move through the tree; pieces stay where they are and
 are joined to their bin's place at the end.
@@ -24,6 +22,7 @@ import base64
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import make_room, materialise, read_table
 
 END_ID = 0
 
@@ -41,8 +40,7 @@ class PackOptions:
     capacity: int = 2048
     slack: int = 4  #: a bin with at most so much room left is nearly full
     local_bytes: int = 16 << 20  #: about so many bytes of items are packed at once; a larger partition is packed in several runs
-    fan_in: int = 16
-    carry: int = 4096
+    node_bins: int = 1 << 16  #: open bins that one node of the tree packs
 
 
 def tokenizer_path() -> str:
@@ -169,16 +167,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def best_fit_pack(items: DataFrame, length_col: str = "length", options: PackOptions = PackOptions()) -> DataFrame:
-    """``items`` with ``sequence_id`` and ``offset``; lengths must be 1 to ``capacity``."""
-    clash = {"sequence_id", "offset"} & {c.lower() for c in items.columns}
-    if clash:
-        raise ValueError(f"columns clash with the result's: {sorted(clash)}")
+    """``items`` with ``sequence_id`` and ``offset``; lengths must be 1 to ``capacity``.  A column that has a name of the result's gets a trailing underscore."""
+    items = make_room(items, "sequence_id", "offset", "__bin", "__at", "__filled")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
     packed = items.mapInArrow(_local_packer(items.columns.index(length_col), options), f"{fields}, {_PLACE}")
     return _merged(materialise(packed, "packed"), items.columns, options)
 
 
-_PLACE = "__bin long, __at long, __filled long, __part int"
+_PLACE = "__bin long, __at long, __filled long"
 
 
 def _local_packer(at: int, options: PackOptions):
@@ -208,8 +204,8 @@ def _local_packer(at: int, options: PackOptions):
         for b in held:
             rows = slice(done, done + b.num_rows)
             done += b.num_rows
-            extra = [pa.array(first[rows]), pa.array(offsets[rows]), pa.array(filled[bins[rows]]), pa.array(np.full(b.num_rows, part, dtype=np.int32))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "__bin", "__at", "__filled", "__part"])
+            extra = [pa.array(first[rows]), pa.array(offsets[rows]), pa.array(filled[bins[rows]])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "__bin", "__at", "__filled"])
         return len(filled)
 
     return local
@@ -217,27 +213,25 @@ def _local_packer(at: int, options: PackOptions):
 
 def _merged(packed: DataFrame, columns: list[str], options: PackOptions) -> DataFrame:
     """The tree: merges the open bins of locally packed items and gives each item its final place."""
-    capacity, slack = options.capacity, options.slack
-    shape = packed.agg(F.max("__part").alias("parts")).first()
-    open_bins = (
-        packed.filter(F.col("__filled") < capacity - slack)
-        .groupBy("__bin")
-        .agg(F.first("__filled").alias("size"), F.first("__part").alias("node"))
-        .select("__bin", F.col("__bin").alias("root"), F.lit(0).cast("long").alias("base"), F.col("size").alias("filled"), "node")
-    )
-    nodes = (shape["parts"] or 0) + 1
-    closed: DataFrame | None = None
-    level = open_bins.withColumn("open", F.lit(True))
-    while nodes > 1:
-        grouped = level.filter("open").withColumn("node", (F.col("node") / options.fan_in).cast("int"))
-        nodes = -(-nodes // options.fan_in)
-        level = materialise(grouped.groupBy("node").applyInArrow(_merger(options), level.schema), "level")
-        final = level.filter(~F.col("open") | F.lit(nodes == 1))
-        closed = final if closed is None else closed.unionByName(final)
-    if closed is None:
-        return packed.select(*columns, F.col("__bin").alias("sequence_id"), F.col("__at").alias("offset"))
-    places = closed.select("__bin", "root", "base")
-    return packed.join(places, "__bin", "left").select(
+    full = options.capacity - options.slack
+    bins = packed.filter(F.col("__filled") < full).groupBy("__bin").agg(F.first("__filled").alias("filled"))
+    level = bins.select("__bin", F.col("__bin").alias("root"), F.lit(0).cast("long").alias("base"), "filled")
+    level = materialise(level, "open")
+    done: list[DataFrame] = []  # bins that no later level touches
+    left, depth = level.count(), 0
+    while left:
+        nodes = -(-left // options.node_bins)
+        dealt = level.withColumn("node", F.pmod(F.xxhash64("root", F.lit(depth)), F.lit(nodes)).cast("int"))
+        level = materialise(dealt.groupBy("node").applyInArrow(_merger(options), level.schema), "level")
+        # A merged bin keeps the smallest name of its parts, so the rows that name themselves are the bins.
+        merged = left - level.filter("__bin = root").count()
+        if nodes == 1 or not merged:
+            break
+        done.append(level.filter(F.col("filled") >= full))
+        level = level.filter(F.col("filled") < full)
+        left, depth = level.filter("__bin = root").count(), depth + 1
+    places = reduce(DataFrame.unionByName, done, level)
+    return packed.join(places.select("__bin", "root", "base"), "__bin", "left").select(
         *columns,
         F.coalesce("root", "__bin").alias("sequence_id"),
         (F.col("__at") + F.coalesce("base", F.lit(0))).alias("offset"),
@@ -245,8 +239,8 @@ def _merged(packed: DataFrame, columns: list[str], options: PackOptions) -> Data
 
 
 def _merger(options: PackOptions):
-    """One node of the tree: packs the group's open bins as items and says which stay open."""
-    capacity, slack, carry = options.capacity, options.slack, options.carry
+    """One node of the tree: packs its open bins as items."""
+    capacity = options.capacity
 
     def merge(table: pa.Table) -> pa.Table:
         bins, root, base, filled = (table.column(c).to_numpy() for c in ("__bin", "root", "base", "filled"))
@@ -254,14 +248,8 @@ def _merger(options: PackOptions):
         where, offset, total = best_fit(filled[first], capacity)
         leader = np.full(len(total), np.iinfo(np.int64).max)
         np.minimum.at(leader, where, roots)
-        staying = total < capacity - slack
-        if staying.sum() > carry:
-            emptiest = np.argsort(np.where(staying, total, capacity + 1), kind="stable")[:carry]
-            staying = np.zeros(len(total), dtype=bool)
-            staying[emptiest] = True
         new = where[of]
-        columns = [pa.array(bins), pa.array(leader[new]), pa.array(base + offset[of]), pa.array(total[new]), table.column("node").combine_chunks(), pa.array(staying[new])]
-        return pa.table(columns, names=["__bin", "root", "base", "filled", "node", "open"])
+        return pa.table([pa.array(bins), pa.array(leader[new]), pa.array(base + offset[of]), pa.array(total[new])], names=["__bin", "root", "base", "filled"])
 
     return merge
 

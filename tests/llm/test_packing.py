@@ -55,7 +55,7 @@ def test_own_tables(spark, sf_dir, tokenizer):
         assert at == len(ids)
 
 
-@pytest.mark.parametrize("options", [PackOptions(), PackOptions(capacity=100, slack=0, fan_in=2, carry=3, local_bytes=900), PackOptions(capacity=50, slack=10, fan_in=3)])
+@pytest.mark.parametrize("options", [PackOptions(), PackOptions(capacity=100, slack=0, node_bins=5, local_bytes=900), PackOptions(capacity=50, slack=10, node_bins=7)])
 def test_any_lengths_pack_without_loss(spark, options):
     rng = random.Random(4)
     items = [(i, rng.choice((1, options.capacity, options.capacity // 2 + 1, rng.randint(1, options.capacity)))) for i in range(700)]
@@ -106,3 +106,18 @@ def test_fast_encoder_gives_the_tokenizers_ids(tokenizer):
     for _ in range(400):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120)))
         assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_runs_of_one_partition_merge(spark):
+    rows = [(i, 1100 if i % 2 else 900) for i in range(400)]
+    items = spark.createDataFrame(rows, "piece_id long, length long").orderBy("length").coalesce(1)
+    for options in (PackOptions(), PackOptions(local_bytes=800), PackOptions(local_bytes=800, node_bins=50)):
+        got = best_fit_pack(items, options=options).groupBy("sequence_id").sum("length").collect()
+        assert len(got) == 200 or (options.node_bins == 50 and len(got) <= 210), (options, len(got))
+
+
+def test_pack_empty_and_clashing_names(spark):
+    items = spark.createDataFrame([(1, 5, 7)], "sequence_id long, length long, offset long")
+    assert best_fit_pack(items.limit(0)).count() == 0
+    (row,) = best_fit_pack(items).collect()
+    assert (row["sequence_id_"], row["offset_"], row["offset"]) == (1, 7, 0)
