@@ -19,7 +19,7 @@ def test_odd_rows(spark):
     good, bad = "plain words that follow one another in a row", "### $$$ %%% ### $$$ &&&"
     rows = [(i, f"{good} {i}" if i % 2 else f"{bad} {i}") for i in range(60)] + [(60, None), (61, ""), (None, good), (62, good * 20_000), (62, good * 20_000)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (999, 0, 0), (61, None, 0), (3, 1, 0)], LABEL)
-    docs = docs_frame(spark, rows).withColumnRenamed("n_chars", "predicted_")
+    docs = docs_frame(spark, rows).withColumnRenamed("n_chars", "predicted").withColumnRenamed("source", "score")
     scored = score_quality(docs, fit_quality(docs, labels)).collect()
     assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored)
     by = {r["doc_id"]: r["score"] for r in scored}
@@ -41,3 +41,22 @@ def test_fit_is_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], LABEL)
     model = fit_quality(docs, labels, QualityOptions(fit_rows=40))
     assert model.constant is None
+
+
+def test_equals_plain_python(spark):
+    """Scores from two dictionaries and the calibration, computed again beside the operator."""
+    import numpy as np
+    import zstandard
+
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{(i * j) % 17}" for j in range(30))) for i in range(80)]
+    docs = docs_frame(spark, rows)
+    model = fit_quality(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(80)], LABEL))
+    packs = [zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False) for d in (model.good, model.bad)]
+    assert b"good" in model.good and b"bad" not in model.good and b"bad" in model.bad
+    for r in score_quality(docs, model).collect():
+        text = dict(rows)[r["doc_id"]].encode()
+        good, bad = (len(p.compress(text)) for p in packs)
+        x = np.array([(bad - good) / max(bad, good), (bad - good) / min(len(text) + 1, 2000)])
+        z = model.weights[0] + sum((x - model.mean) / model.scale * model.weights[1:])
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-6 and r["predicted"] == int(r["score"] >= 0.7)
+        assert (bad > good) == (r["doc_id"] % 2 == 1)
