@@ -4,14 +4,14 @@ Per host, paths become templates in two steps.  Lexically, runs of digits and
 hexadecimal ids turn into ``<n>`` and ``<h>``.  Then the tree is walked from the
 root down: the children of a node whose label mix (blocked, allowed, unlabelled) is
 near that of their siblings and no significant departure from it merge into a
-wildcard branch; rare children of a node with very many merge where all their pages
-have one label, into a branch for that label.  A template is rejected when the
+wildcard branch, and so do, for each label, those whose pages all have it.  A template is rejected when the
 smoothed share of blocked pages among its labelled ones is high enough.  Rules
 label the pages; where a rule fits a page, the rule's own action is the verdict.
 
 One aggregation and one join a level; the tree is never collected, and a hot
-host is aggregated before it is shuffled.  Segments beyond ``max_depth`` form one
-tail, so the number of levels has a bound and no page is left out.
+host is aggregated before it is shuffled.  Segments beyond ``max_depth`` are kept
+as one last segment, which is a branch like any other, so the number of levels has a
+bound and nothing of a path is left out.
 
 Defined results: a url that is null or has no ``://`` has an empty host and
 path; rows that repeat are counted and answered as often as they come; an empty
@@ -46,9 +46,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class TreeOptions:
-    max_depth: int = 8  #: levels; what lies deeper is one tail segment
-    max_children: int = 64  #: beyond so many children, rare ones of one label merge
-    rare_share: float = 0.01  #: what counts as rare there
+    max_depth: int = 8  #: levels; what lies deeper is one last segment
     merge_below: float = 9.21  #: chi-square (2 degrees, 1 %) under which branches can be alike
     merge_distance: float = 0.2  #: and the largest difference of their label shares
     prior: float = 0.5  #: blocked share that a template without labels has
@@ -117,7 +115,7 @@ def template_tree(labelled: DataFrame, options: TreeOptions = TreeOptions()) ->
         F.count(F.when(F.col("action") == "allow", 1)).alias("na"),
     )
     split = F.split("lexical", "/")
-    segments = F.when(F.size(split) > deep, F.concat(F.slice(split, 1, deep), F.array(F.lit("**")))).otherwise(split)
+    segments = F.when(F.size(split) > deep, F.concat(F.slice(split, 1, deep), F.array(F.array_join(F.slice(split, F.lit(deep + 1), F.size(split)), "/")))).otherwise(split)
     tree = materialise(paths.select("host", "lexical", F.lit("").alias("template"), segments.alias("segments"), "n", "nb", "na"), "tree")
     levels = tree.agg(F.max(F.size("segments")).alias("d")).first()["d"] or 0
     sums = [F.sum(c).alias(c) for c in ("n", "nb", "na")]
@@ -127,10 +125,9 @@ def template_tree(labelled: DataFrame, options: TreeOptions = TreeOptions()) ->
         parents = children.groupBy("host", "template").agg(
             F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("nb").alias("pb"), F.sum("na").alias("pa")
         )
-        rare = (F.col("k") > options.max_children) & (F.col("n") < options.rare_share * F.col("pn"))
         alike = (F.col("k") > 1) & (_chi_square() < options.merge_below) & (_distance() <= options.merge_distance)
         pure = F.when(F.col("nb") == F.col("n"), "*block").when(F.col("na") == F.col("n"), "*allow").when(F.col("nu") == F.col("n"), "*none")
-        step = F.coalesce(F.when(alike, "*"), F.when(rare, pure), "segment")
+        step = F.coalesce(F.when(alike, "*"), pure, "segment")
         choice = (
             children.join(parents, ["host", "template"])
             .withColumns({"nu": F.col("n") - F.col("nb") - F.col("na"), "pu": F.col("pn") - F.col("pb") - F.col("pa")})
