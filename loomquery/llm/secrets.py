@@ -16,7 +16,7 @@ nothing that an earlier run recorded.
 
 Defined results: a null text is an empty one; rows that repeat, and paths with
 several versions, each get their findings; a null path is a value like any
-other; an empty table gives an empty result; other columns are not read.
+other; an empty table gives an empty result; columns outside the payload are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, read_table, scratch_path
+from .common import make_room, materialise, read_table, scratch_path
 
 
 @dataclass(frozen=True)
@@ -123,12 +123,12 @@ def scan_unseen(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULE
     found = blobs.select(
         "blob",
         "due",
-        *(_raw_matches(r, F.col("text"), F.col("lowered"), F.array_contains("due", r.key)).alias(r.kind) for r in rules),
+        *(_raw_matches(r, F.col("text"), F.col("lowered"), F.array_contains("due", r.key)).alias(f"m{i}") for i, r in enumerate(rules)),
     )
     raw = materialise(found, "matches")
     parts = []
     for order, rule in enumerate(rules):
-        single = raw.filter(F.size(rule.kind) > 0).select("blob", F.posexplode(rule.kind).alias("i", "m"))
+        single = raw.filter(F.size(f"m{order}") > 0).select("blob", F.posexplode(f"m{order}").alias("i", "m"))
         parts.append(single.select("blob", F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"), F.lit(rule.min_size).alias("least"), "i", "m.before", "m.whole", "m.sized"))
     matches = reduce(DataFrame.unionAll, parts)
     so_far = Window.partitionBy("blob", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -145,10 +145,17 @@ def scan_unseen(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULE
 
 
 def findings_by_path(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, payload: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """Every row of ``versions``: its ``payload`` columns, blob and findings (sorted, possibly empty)."""
+    """Every row of ``versions``: its ``payload`` columns, blob and findings (sorted by start, then in the order of ``rules``; possibly empty).
+
+    A payload column named ``blob`` or ``findings`` gets a trailing underscore.
+    """
     payload = [c for c in versions.columns if c != text_col] if payload is None else payload
     keys = F.array(*(F.lit(r.key) for r in rules))
-    current = F.filter("findings", lambda f: F.array_contains(keys, f["rule"]))
+    # The ledger's order of rules is that of some earlier scan; this reader's is its own.
+    current = F.transform(
+        F.filter("findings", lambda f: F.array_contains(keys, f["rule"])),
+        lambda f: F.struct(f["start"].alias("start"), (F.array_position(keys, f["rule"]) - 1).cast("int").alias("ord"), f["kind"].alias("kind"), f["end"].alias("end"), f["rule"].alias("rule")),
+    )
     hits = (
         read_ledger(versions.sparkSession, ledger)
         .select(F.col("blob").alias("__hit"), current.alias("__found"))
@@ -156,7 +163,8 @@ def findings_by_path(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] =
         .groupBy("__hit")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__found")))).alias("__found"))
     )
-    rows = versions.select(*payload, blob_address(F.col(text_col)).alias("__blob"))
+    rows = make_room(versions.select(blob_address(F.col(text_col)).alias("__blob"), *payload), "blob", "findings")
+    payload = rows.columns[1:]
     joined = rows.join(hits, F.col("__blob") == F.col("__hit"), "left")
     empty = F.array().cast(f"array<{_FINDING}>")
     return joined.select(*payload, F.col("__blob").alias("blob"), F.coalesce("__found", empty).alias("findings"))

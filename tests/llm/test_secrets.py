@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomquery.llm.secrets import BASE_RULES, RULES, Rule, findings_by_path, op3_secrets, read_ledger, scan_unseen, scan_versions
+from loomquery.llm.secrets import BASE_RULES, EXTRA_RULES, RULES, Rule, findings_by_path, op3_secrets, read_ledger, scan_unseen, scan_versions
 
 from .helpers import docs_frame
 
@@ -93,3 +93,13 @@ def test_odd_rows(spark, tmp_path):
     got = sorted(((r["doc_id"] or 0, spans(r)) for r in scan_versions(frame, str(tmp_path / "ledger"), RULES, ["doc_id"]).collect()), key=str)
     assert got == sorted(((i or 0, plain_spans(t)) for i, t in rows), key=str)
     assert scan_versions(docs_frame(spark, []), str(tmp_path / "none"), payload=["doc_id"]).count() == 0
+
+
+def test_order_of_rules_is_the_readers(spark, tmp_path):
+    docs = docs_frame(spark, [(1, "password=abcdef123 ghp_" + "a" * 36), (2, "deadbeef" * 4)]).withColumnRenamed("source", "findings").withColumnRenamed("lang", "blob")
+    ledger = f"file://{tmp_path}/ledger"
+    scan_unseen(docs, ledger, EXTRA_RULES + BASE_RULES)
+    rows = findings_by_path(docs, ledger, RULES).collect()
+    for r in rows:
+        assert r["blob_"] == "en" and r["findings_"] == "s"
+        assert all(RULES[f["ord"]].key == f["rule"] for f in r["findings"]) and r["findings"]
