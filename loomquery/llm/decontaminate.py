@@ -25,13 +25,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import fresh_name, read_table
-from .shingling import ALPHANUMERIC, Words, chunks
+from .common import fresh_name, make_room, materialise, read_table
+from .shingling import ALPHANUMERIC, Words, chunks, runs_of
 
 MATCH, MISMATCH, GAP = 2, -1, 1
 
@@ -221,9 +222,8 @@ def corpus_counts(docs: DataFrame, index: ItemIndex, text_col: str, options: Lea
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(len(index.distinct), dtype=np.int64)
         for batch in batches:
-            bodies = _bodies(batch.column(0).to_pylist())
-            for first, end in chunks(bodies):
-                found = Words(bodies[first:end], ALPHANUMERIC)
+            for run in runs_of(batch.column(0)):
+                found = Words(_bodies(run.to_pylist()), ALPHANUMERIC)
                 grams = found.grams(options.gram)
                 at = index.hits(grams)
                 doc = np.searchsorted(found.bounds, at, side="right") - 1
@@ -238,39 +238,57 @@ def corpus_counts(docs: DataFrame, index: ItemIndex, text_col: str, options: Lea
     return {r["gram"]: r["n"] for r in rows.collect()}
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, options: LeakOptions) -> Iterator[list[tuple]]:
-    """The items in blocks small enough to broadcast, one block on the driver at a time."""
+def _block_count(items: DataFrame, text_col: str, options: LeakOptions) -> int:
+    words = items.agg(F.sum(F.size(F.split(text_col, r"\s+"))).alias("n")).first()["n"] or 0
+    return max(1, -(-int(words) // options.block_grams))
+
+
+def _block(items: DataFrame, id_col: str, text_col: str, b: int, total: int) -> list[tuple]:
+    """One block of the items, small enough to broadcast."""
     usable = items.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = usable.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(words) // options.block_grams))
-    for b in range(blocks):
-        rows = usable.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
-        yield sorted(((r["id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = usable.filter(F.pmod(F.xxhash64("id", "text"), F.lit(total)) == b).collect()
+    return sorted(((r["id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def _finder(index: ItemIndex, kind: str, options: LeakOptions):
     names = ("item_id", "score", "first_word", "last_word")
+    arrow_kind = to_arrow_type(_parse_datatype_string(kind))
 
-    @F.pandas_udf(kind)
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, leak, strict=True)) for leak in leaks] for leaks in leaks_of(list(texts), index, options)], dtype=object)
+    @F.arrow_udf(kind)
+    def find(texts: pa.Array) -> pa.Array:
+        found = [leaks_of(run.to_pylist(), index, options) for run in runs_of(texts)]
+        return pa.array([[dict(zip(names, leak, strict=True)) for leak in leaks] for some in found for leaks in some], arrow_kind)
 
     return find
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, out: str = "leaks", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", options: LeakOptions = LeakOptions()) -> DataFrame:
-    """``docs`` with a column of the items that contaminate each text: array of (item_id, score, first_word, last_word)."""
+    """``docs`` with a column of the items that contaminate each text: array of (item_id, score, first_word, last_word).
+
+    A column of the documents that is named ``out`` gets a trailing underscore.  With
+    several blocks of items, each block's hits are written before the next block is
+    read, so that a task holds the index of one block.
+    """
     id_type = items.schema[item_id].dataType.simpleString()
     kind = f"array<struct<item_id:{id_type},score:double,first_word:int,last_word:int>>"
-    found, parts = docs, []
-    for rows in _blocks(items, item_id, item_text, options):
-        index = ItemIndex.build(rows, options)
+    docs = make_room(docs, out) if out != text_col else docs
+    total = _block_count(items, item_text, options)
+    key = [F.xxhash64(F.lit(i), text_col) for i in (1, 2)]
+    hits: DataFrame | None = None
+    for b in range(total):
+        index = ItemIndex.build(_block(items, item_id, item_text, b, total), options)
         index.keep_rare(corpus_counts(docs, index, text_col, options), options.rare_share)
-
-        part = fresh_name(found, "__leaks")
-        parts.append(part)
-        found = found.withColumn(part, _finder(index, kind, options)(F.col(text_col)))
-    return found.withColumn(out, F.concat(*parts)).drop(*parts)
+        found = _finder(index, kind, options)(F.col(text_col))
+        if total == 1:
+            return docs.withColumn(out, found)
+        some = docs.filter(F.col(text_col).isNotNull()).select(key[0].alias("t1"), key[1].alias("t2"), found.alias("leaks")).filter(F.size("leaks") > 0)
+        some = materialise(some.dropDuplicates(["t1", "t2"]), "leaks")  # a text's leaks depend on the text alone
+        hits = some if hits is None else hits.unionByName(some)
+    gathered = hits.groupBy("t1", "t2").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    names = {k: fresh_name(docs, f"__{k}") for k in ("t1", "t2", "leaks")}
+    keyed = docs.withColumns({names["t1"]: key[0], names["t2"]: key[1]})
+    joined = keyed.join(gathered.select(*(F.col(k).alias(v) for k, v in names.items())), [names["t1"], names["t2"]], "left")
+    return joined.withColumn(out, F.coalesce(names["leaks"], F.array().cast(kind))).drop(*names.values())
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_name, materialise, read_table, size_bytes
 from .graph import connected_components
-from .shingling import mix, shingle_sets
+from .shingling import mix, runs_of, shingle_sets
 
 BROADCAST_BYTES = 16 << 20  #: a side whose files are larger than this is shuffled
 
@@ -205,8 +205,10 @@ def exact_links(packed: list[bytes], sizes: np.ndarray, sides: np.ndarray, optio
     return _links(points, sizes, sides, options, lambda a, b: bool(enough(options, len(np.intersect1d(sets[a], sets[b], assume_unique=True)), int(sizes[a]), int(sizes[b]))))
 
 
-def _binaries(column: pa.Array) -> list[bytes]:
-    return [v or b"" for v in column.to_pylist()]
+def _sets(column: pa.Array, options: JoinOptions) -> Iterator[np.ndarray]:
+    """The shingle set of each value of a binary column."""
+    for run in runs_of(column):
+        yield from shingle_sets([v or b"" for v in run.to_pylist()], options.shingle)
 
 
 def _signature(hashes: np.ndarray) -> tuple[int, int]:
@@ -231,7 +233,7 @@ def describe_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, s1, s2, points = [], [], [], []
-            for hashes in shingle_sets(_binaries(batch.column(3)), options.shingle):
+            for hashes in _sets(batch.column(3), options):
                 first, second = _signature(hashes)
                 sizes.append(len(hashes))
                 s1.append(first)
@@ -251,7 +253,7 @@ def frequent_shingles(docs: DataFrame, total: int, options: JoinOptions) -> np.n
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for hashes in shingle_sets(_binaries(batch.column(0)), options.shingle):
+            for hashes in _sets(batch.column(0), options):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["h"])
 
     counted = sample.mapInArrow(emit, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= options.fit_seen)
@@ -295,7 +297,7 @@ def tree_members(docs: DataFrame, frequent: np.ndarray, options: JoinOptions) ->
         seen: set[int] = set()  # sets of this input partition: copies are emitted once
         for batch in batches:
             keys, owners, held = [], [], 0
-            for hashes in shingle_sets(_binaries(batch.column(0)), options.shingle):
+            for hashes in _sets(batch.column(0), options):
                 if not len(hashes):
                     continue
                 name, _ = _signature(hashes)
@@ -357,7 +359,7 @@ def _rebuilt_sets(names: DataFrame, classes: DataFrame, docs: DataFrame, options
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
             some = batch.take(pa.array(new, pa.int64()))
-            sets = [h.tobytes() for h in shingle_sets(_binaries(some.column(2)), options.shingle)]
+            sets = [h.tobytes() for h in _sets(some.column(2), options)]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["s1", "hashes"])
 
     chosen = docs.join(wanted, ["r1", "r2"]).select("s1", "r1", "body")

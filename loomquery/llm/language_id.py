@@ -27,12 +27,12 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_name, held_out, read_table
+from .common import fresh_name, held_out, make_room, read_table
+from .shingling import runs_of
 
 UNDETERMINED = "und"
 _CODES = 0x110000
@@ -193,12 +193,12 @@ def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = F.col(text_col) if sample_key is None else sample_key
-    rows = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("bucket"))
+    rows = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.shiftrightunsigned(F.xxhash64(key), 11).alias("bucket"))
     per_language = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    large = {k: int(1e6 * options.fit_documents / n) for k, n in per_language.items() if n > options.fit_documents}
+    large = {k: -(-(options.fit_documents << 53) // n) for k, n in per_language.items() if n > options.fit_documents}
     if large:
         limits = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in large.items()))
-        rows = rows.filter(F.col("bucket") < F.coalesce(limits[F.col("lang")], F.lit(1_000_000)))
+        rows = rows.filter(F.col("bucket") < F.coalesce(limits[F.col("lang")], F.lit(1 << 53)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[str, str], int] = {}
@@ -233,12 +233,17 @@ def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
 
 def predict_language(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score"), options: ProfileOptions = ProfileOptions()) -> DataFrame:
-    """``docs`` with the predicted language and its score; all other columns pass through untouched."""
-
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = out_of_place(["" if t is None else t for t in texts], profiles, options)
-        return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": scores})
+    """``docs`` with the predicted language and its score; a column that has such a name already gets a trailing underscore, all others pass through untouched."""
+    docs = make_room(docs, *(n for n in out if n != text_col))
+
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        langs, scores = [], []
+        for run in runs_of(texts, options.chunk_chars):
+            names, values = out_of_place([t or "" for t in run.to_pylist()], profiles, options)
+            langs += names
+            scores += values
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     struct = fresh_name(docs, "__language")
     found = docs.withColumn(struct, predict(F.col(text_col)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
 CHUNK_BYTES = 1 << 19
@@ -54,6 +56,18 @@ def chunks(bodies: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+def runs_of(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[pa.Array]:
+    """Slices of a text or binary column of about ``most`` bytes (a longer value is a slice of its own).  Nothing is copied:
+    what is made of a slice in Python is bounded, whatever the size of the Arrow batch."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start, done = 0, 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield column.slice(start, end - start)
+        start, done = end, int(ends[end - 1])
+
+
 class Words:
     """All words of a run of documents: hashes, and where each document's words begin.
 
