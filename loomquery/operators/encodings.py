@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ordered_positions
+
 #: Distinct values of a dictionary or Huffman table that are brought to the driver.
 TABLE_ENTRIES = 100_000
 
@@ -14,7 +16,7 @@ TABLE_ENTRIES = 100_000
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """(value, code): codes from 0 in order of values."""
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.withColumn("code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("long"))
+    return ordered_positions(values, "value").withColumnRenamed("position", "code")
 
 
 def dictionary_encode(df: DataFrame, column: str, code: str = "code") -> DataFrame:
@@ -54,6 +56,17 @@ def huffman_codes(df: DataFrame, column: str) -> dict[object, str]:
     return codes
 
 
+def huffman_cost(df: DataFrame, column: str) -> tuple[int, int, int]:
+    """Values, rows and bits of ``column`` in its Huffman code.  All optimal prefix codes need the same number of bits."""
+    codes = huffman_codes(df, column)
+    words = sorted(codes.values())
+    if any(b.startswith(a) for a, b in zip(words, words[1:])):
+        raise AssertionError("not a prefix code")
+    known = df.filter(F.col(column).isNotNull())
+    counts = known.groupBy(column).agg(F.count(F.lit(1)).alias("n")).collect()  # as many rows as the code has words
+    return len(codes), sum(r["n"] for r in counts), sum(r["n"] * len(codes[r[column]]) for r in counts)
+
+
 def delta_encode(df: DataFrame, column: str, order: str, within: list[str]) -> DataFrame:
     """``delta``: the first value of each run as it is, then differences.  Runs (``within``) are independent blocks."""
     run = Window.partitionBy(*within).orderBy(order)
@@ -75,15 +88,10 @@ def frame_of_reference(df: DataFrame, column: str, within: list[str]) -> DataFra
 def linear_segments(df: DataFrame, key: str, segments: int) -> DataFrame:
     """A model of key order: the sorted distinct keys in equal segments, each with the line that best predicts positions.
 
-    Ranks are counted by range partition: each partition sorts its own keys, and the counts of the partitions
-    before it are added.
+    Ranks are counted part by part, see ``ordered_positions``.
     """
     keys = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("double").alias("k")).distinct()
-    ranged = keys.repartitionByRange("k").withColumn("part", F.spark_partition_id())
-    local = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("k")) - 1)
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    ranked = local.join(F.broadcast(starts), "part").select("k", (F.col("start") + F.col("at")).alias("position"))  # one row a partition
+    ranked = ordered_positions(keys, "k")
     total = keys.agg(F.count(F.lit(1)).alias("total"))
     cut = ranked.join(F.broadcast(total)).withColumn("segment", F.floor(F.col("position") * segments / F.col("total")))
     return cut.groupBy("segment").agg(

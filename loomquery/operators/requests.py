@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def at_most_once(requests: DataFrame, client: str, request: str, order: str) -> DataFrame:
     """The first of each client's copies of a request; the others are answered from the cache."""
@@ -52,8 +54,6 @@ def reachable_states(start: DataFrame, steps: DataFrame, depth: int) -> DataFram
 
     The frontier and what was seen are cut each round, so the plan stays small.
     """
-    spark = start.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.cache())
     seen = cut(start.select("state").distinct().withColumn("distance", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 ACCESS = ("READ", "WRITE")
 
 
@@ -40,7 +42,7 @@ def cyclic_nodes(edges: DataFrame, before: str = "before", after: str = "after",
         sources, targets = rest.select(F.col("x").alias("n")).distinct(), rest.select(F.col("y").alias("n")).distinct()
         inner = sources.join(targets, "n", "left_semi")
         rest = rest.join(inner.select(F.col("n").alias("x")), "x", "left_semi").join(inner.select(F.col("n").alias("y")), "y", "left_semi").select("x", "y")
-        rest = _cut(rest)
+        rest = cut(rest)
         left = rest.count()
         if left == count or not left:
             return rest.select(F.col("x").alias("node")).distinct()
@@ -48,11 +50,6 @@ def cyclic_nodes(edges: DataFrame, before: str = "before", after: str = "after",
     raise RuntimeError(f"cycles did not settle in {max_rounds} rounds")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the folder all executors share, where one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-
-
 def is_conflict_serializable(schedule: DataFrame) -> bool:
     return cyclic_nodes(conflict_edges(schedule)).isEmpty()
 
@@ -67,13 +64,19 @@ def reads_from(schedule: DataFrame) -> DataFrame:
 
     Writes of transactions that abort before the read do not count.
     """
-    ends = schedule.filter("op = 'ABORT'").groupBy(F.col("txn").alias("writer")).agg(F.min("seq").alias("aborted"))
-    access = schedule.filter(F.col("op").isin(*ACCESS))
-    writes = access.filter("op = 'WRITE'").select(F.col("item").alias("written_item"), F.col("txn").alias("writer"), F.col("seq").alias("written")).join(ends, "writer", "left")
-    reads = access.filter("op = 'READ'").select("seq", "txn", "item")
-    valid = (F.col("item") == F.col("written_item")) & (F.col("written") < F.col("seq")) & (F.col("aborted").isNull() | (F.col("aborted") > F.col("seq")))
-    seen = reads.join(writes, valid, "left")
-    return seen.groupBy("seq", "txn", "item").agg(F.max_by("writer", "written").alias("writer"))
+    aborts = schedule.filter("op = 'ABORT'").groupBy("txn").agg(F.min("seq").alias("aborted"))
+    access = schedule.filter(F.col("op").isin(*ACCESS)).select("seq", "txn", "op", "item").join(aborts, "txn", "left")
+    # Of the writes that never abort the last one before the read, found in one pass over each item.
+    before = Window.partitionBy("item").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    write = F.struct(F.col("seq").alias("written"), F.col("txn").alias("writer"))
+    lasting = F.last(F.when((F.col("op") == "WRITE") & F.col("aborted").isNull(), write), ignorenulls=True).over(before)
+    reads = access.withColumn("lasting", lasting).filter("op = 'READ'").select("seq", "txn", "item", "lasting")
+    # A write that aborts later is read only until then.
+    passing = access.filter("op = 'WRITE' and aborted is not null").select("item", write.alias("write"), "aborted")
+    seen = reads.select("seq", "txn", "item").join(passing, "item").filter("write.written < seq and aborted > seq")
+    passing = seen.groupBy("seq", "txn", "item").agg(F.max("write").alias("passing"))
+    known = reads.join(passing, ["seq", "txn", "item"], "left")
+    return known.select("seq", "txn", "item", F.greatest("lasting", "passing")["writer"].alias("writer"))
 
 
 def last_writer(schedule: DataFrame) -> DataFrame:
@@ -91,10 +94,15 @@ def recovery_classes(schedule: DataFrame) -> dict[str, bool]:
     known = reads.join(commits.toDF("writer", "writer_committed"), "writer", "left").join(commits.toDF("txn", "reader_committed"), "txn", "left")
     open_commit = (F.col("reader_committed").isNotNull()) & (F.col("writer_committed").isNull() | (F.col("writer_committed") > F.col("reader_committed")))
     dirty = F.col("writer_committed").isNull() | (F.col("writer_committed") > F.col("seq"))
-    access = schedule.filter(F.col("op").isin(*ACCESS))
-    x, y = access.filter("op = 'WRITE'").alias("x"), access.alias("y")
-    later = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.txn") != F.col("y.txn")) & (F.col("x.seq") < F.col("y.seq")))
-    loose = later.join(ends.toDF("ender", "ended"), F.col("ender") == F.col("x.txn"), "left").filter(F.col("ended").isNull() | (F.col("ended") > F.col("y.seq")))
+    # A write is overwritten or read too early, if ever, by the first access of another transaction that follows it: the one
+    # after the run of its own transaction's accesses to the item.
+    by_item = Window.partitionBy("item").orderBy("seq")
+    access = schedule.filter(F.col("op").isin(*ACCESS)).withColumn("before", F.lag("txn").over(by_item))
+    runs = access.withColumn("run", F.sum(F.when(F.col("before") == F.col("txn"), 0).otherwise(1)).over(by_item))
+    in_run = Window.partitionBy("item", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wrote = runs.withColumn("wrote", F.max((F.col("op") == "WRITE").cast("int")).over(in_run))
+    after = wrote.withColumn("exposed", F.lag("wrote").over(by_item) == 1).filter("exposed and before != txn")
+    loose = after.join(ends.toDF("before", "ended"), "before", "left").filter(F.col("ended").isNull() | (F.col("ended") > F.col("seq")))
     return {"recoverable": known.filter(open_commit).isEmpty(), "cascadeless": known.filter(dirty).isEmpty(), "strict": loose.isEmpty()}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,20 @@ def lookup(docs: DataFrame, term: str, id_col: str = "doc_id", text_col: str = "
 def proximity(docs: DataFrame, first: str, second: str, distance: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with the two terms at most ``distance`` positions apart.
 
-    A document is judged from its own words, so nothing is shuffled.
+    A document is judged from its own words in one walk over them, which remembers
+    where each term was last seen: the nearest pair of positions is always one of
+    those.  Nothing is shuffled but the ids found.
     """
-    words = F.filter(F.split(F.lower(text_col), r"\s+"), lambda w: w != "")
-    places = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    chosen = docs.select(id_col, F.filter(places, lambda p: p["w"].isin(first.lower(), second.lower())).alias("p"))
-    a = F.transform(F.filter("p", lambda p: p["w"] == first.lower()), lambda p: p["i"])
-    b = F.transform(F.filter("p", lambda p: p["w"] == second.lower()), lambda p: p["i"])
-    near = chosen.select(id_col, a.alias("a"), b.alias("b")).filter(F.exists("a", lambda x: F.exists("b", lambda y: F.abs(x - y) <= distance)))
-    return near.select(id_col).distinct()
+    one, other, body = first.lower(), second.lower(), F.lower(text_col)
+    words = F.filter(F.split(body, r"\s+"), lambda w: w != "")
+    nowhere = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("i"), nowhere.alias("a"), nowhere.alias("b"), F.lit(False).alias("near"))
+
+    def step(seen: Column, w: Column) -> Column:
+        a = F.when(w == one, seen["i"]).otherwise(seen["a"])
+        b = F.when(w == other, seen["i"]).otherwise(seen["b"])
+        near = seen["near"] | (w.isin(one, other) & F.coalesce(F.abs(a - b) <= distance, F.lit(False)))
+        return F.struct((seen["i"] + 1).alias("i"), a.alias("a"), b.alias("b"), near.alias("near"))
+
+    both = docs.filter(F.contains(body, F.lit(one)) & F.contains(body, F.lit(other)))
+    return both.filter(F.aggregate(words, start, step, lambda seen: seen["near"])).select(id_col).distinct()

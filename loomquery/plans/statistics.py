@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ordered_positions
+
 
 @dataclass
 class ColumnStatistics:
@@ -71,11 +73,10 @@ def equi_width_histogram(df: DataFrame, column: str, buckets: int = 10) -> DataF
 def equi_depth_histogram(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
     """Buckets of nearly one count over the sorted values: bucket i ends before row (i + 1) n / buckets.
 
-    Ranks come from the counts of distinct values, so no task sorts all rows.
+    Ranks come from the counts of distinct values, part by part, so no task sorts all rows or all values.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    so_far = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("n").over(so_far))
+    ranked = ordered_positions(counts, "v", "n").withColumn("upto", F.col("position") + F.col("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     edges = df.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(F.broadcast(total))
     edges = edges.select("bucket", F.floor(F.col("bucket") * F.col("total") / buckets).alias("first"), (F.floor((F.col("bucket") + 1) * F.col("total") / buckets) - 1).alias("last"))

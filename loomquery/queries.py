@@ -13,15 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
+from .engine import Engine
 from .functions.lookup import FunctionRegistry, LookupFunction, filter_inlined, filter_opaque
 from .operators import encodings, requests, schedules, snapshots, text_index, vectors
 from .operators.aggregates import aggregate, average_or_zero
 from .operators.joins import equi_join, filtered_by
+from .operators.lineage import scratch
 from .operators.predicates import all_of, any_of, compare, inside
+from .operators.snapshots import SnapshotStore
 from .plans import estimates, statistics
-from .plans.join_order import STRATEGIES
+from .plans.join_order import STRATEGIES, leaves
 from .plans.planner import Planner, PlanOptions
 from .plans.syntax import parse_query
+from .sources import text_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,9 +72,29 @@ _FLAGSHIP_SQL = """SELECT min(c_name) AS first_customer, min(o_orderstatus) AS s
     JOIN lineitem ON o_orderkey = l_orderkey WHERE r_name = 'ASIA' AND o_orderstatus = 'F' HAVING count(*) > 0"""
 text_query(_FLAGSHIP, _FLAGSHIP_SQL, "agg_projection_join", ["first_customer", "status", "n_lines"])
 text_query(_FLAGSHIP.replace("ASIA", "NOWHERE"), _FLAGSHIP_SQL.replace("ASIA", "NOWHERE"), "agg_empty_input", ["first_customer", "status", "n_lines"])
+
+
+def _join_order(strategy: str) -> None:
+    """The flagship with the tree chosen from ANALYZE's numbers; ``n_tables`` counts the tree's leaves, ``no_worse`` says that
+    the tree is estimated at no more rows than the order as written."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        catalog = Catalog.of_parquet(spark, sf, ["region", "nation", "customer", "orders", "lineitem"])
+        keys = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "lineitem": ["l_orderkey"]}
+        known = {name: statistics.analyze(catalog.table(name).rows(), columns) for name, columns in keys.items()}
+        planner, parsed = Planner(catalog), parse_query(_FLAGSHIP)
+        chosen, written = (planner.plan(parsed, PlanOptions(join_order=o, statistics=known)) for o in (strategy, "as_written"))
+        told = {"n_tables": F.lit(len(leaves(chosen.tree))), "no_worse": F.lit(chosen.cost <= written.cost)}
+        return chosen.frame.toDF("first_customer", "status", "n_lines").withColumns(told)
+
+    worse = "" if strategy != "largest_first" else " AND false"  # the strategy that is meant to be bad
+    sql = _FLAGSHIP_SQL.replace("AS n_lines", f"AS n_lines, 5 AS n_tables, (true{worse}) AS no_worse")
+    query(sql, f"join_order_{strategy}")(run)
+
+
 for _strategy in STRATEGIES:
     if _strategy != "as_written":
-        text_query(_FLAGSHIP, _FLAGSHIP_SQL, f"join_order_{_strategy}", ["first_customer", "status", "n_lines"], PlanOptions(join_order=_strategy))
+        _join_order(_strategy)
 
 
 # Scans, projections, predicates.
@@ -232,9 +256,12 @@ def agg_avg_range(spark, sf):
     return average_or_zero(table(spark, sf, "events"), F.col("value"), F.col("event_id").between(100, 900))
 
 
-@query("SELECT round(coalesce(avg(l_quantity), 0), 6) AS average, count(*) AS n_rows FROM lineitem WHERE l_suppkey = -1")
+@query("SELECT k AS key, round(coalesce(avg(l_quantity), 0), 6) AS average, count(l_quantity) AS n_rows FROM (VALUES (3), (-1)) t(k) LEFT JOIN lineitem ON l_suppkey = k GROUP BY k")
 def agg_avg_key(spark, sf):
-    return average_or_zero(table(spark, sf, "lineitem"), F.col("l_quantity"), F.col("l_suppkey") == -1)
+    """A key that has rows, and one that has none."""
+    lines = table(spark, sf, "lineitem")
+    found = [average_or_zero(lines, F.col("l_quantity"), F.col("l_suppkey") == k).withColumn("key", F.lit(k)) for k in (3, -1)]
+    return found[0].unionByName(found[1])
 
 
 @query("SELECT l_partkey, round(sum(l_quantity), 2) AS quantity, round(sum(l_quantity * l_extendedprice), 0) AS revenue FROM lineitem WHERE l_partkey = 7 GROUP BY l_partkey")
@@ -551,15 +578,14 @@ def for_encode(spark, sf):
     return encodings.frame_of_reference(events, "user_id", ["block"]).select("event_id", "offset", "bits")
 
 
-@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
-def huffman_weights(spark, sf):
-    """Symbol weights of the Huffman code, checked to be a prefix code that gives frequent values no longer codes."""
-    part = table(spark, sf, "part")
-    codes = encodings.huffman_codes(part, "p_brand")
-    words = sorted(codes.values())
-    if any(b.startswith(a) for a, b in zip(words, words[1:])):
-        raise AssertionError("not a prefix code")
-    return part.filter(F.col("p_brand").isin(list(codes))).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+@query(
+    """WITH RECURSIVE c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), h AS (SELECT list_sort(list(n)) AS l, CAST(0 AS BIGINT) AS bits FROM c
+    UNION ALL SELECT list_sort(list_append(l[3:], l[1] + l[2])), CAST(bits + l[1] + l[2] AS BIGINT) FROM h WHERE len(l) > 1)
+    SELECT (SELECT count(*) FROM c) AS n_values, (SELECT CAST(sum(n) AS BIGINT) FROM c) AS n_rows, max(bits) AS bits FROM h"""
+)
+def huffman_code_length(spark, sf):
+    """Bits of a column in its Huffman code: the sum of the merged weights."""
+    return spark.createDataFrame([encodings.huffman_cost(table(spark, sf, "part"), "p_brand")], "n_values long, n_rows long, bits long")
 
 
 @query("SELECT user_id, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY user_id HAVING count(*) > 0")
@@ -594,6 +620,48 @@ def iso_nonrepeatable_reads(spark, sf):
     return schedules.nonrepeatable_reads(_schedule(spark, sf))
 
 
+_ENDED = """SELECT event_id AS seq, event_id // 50 + event_id % 2 AS txn, CASE WHEN event_id % 3 = 0 THEN 'WRITE' ELSE 'READ' END AS op, user_id AS item FROM events
+    UNION ALL SELECT (t + 1) * 50 + 0.5, t, CASE WHEN t % 7 = 3 THEN 'ABORT' ELSE 'COMMIT' END, NULL FROM (SELECT DISTINCT event_id // 50 + event_id % 2 AS t FROM events)"""
+
+
+def _ended(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions of 50 operations, each interleaved with the next; every seventh aborts."""
+    events = table(spark, sf, "events").withColumn("txn", F.expr("event_id div 50 + event_id % 2"))
+    op = F.when(F.col("event_id") % 3 == 0, "WRITE").otherwise("READ")
+    work = events.select(F.col("event_id").cast("double").alias("seq"), "txn", op.alias("op"), F.col("user_id").alias("item"))
+    ends = events.select("txn").distinct().select(((F.col("txn") + 1) * 50 + 0.5).cast("double").alias("seq"), "txn", F.when(F.col("txn") % 7 == 3, "ABORT").otherwise("COMMIT").alias("op"))
+    return work.unionByName(ends, allowMissingColumns=True)
+
+
+_READS_FROM = f"""s AS ({_ENDED}), en AS (SELECT txn, min(seq) AS ended, min(CASE WHEN op = 'COMMIT' THEN seq END) AS committed, min(CASE WHEN op = 'ABORT' THEN seq END) AS aborted FROM s WHERE op IN ('COMMIT', 'ABORT') GROUP BY txn),
+    rf AS (SELECT r.seq, r.txn, r.item, arg_max(w.txn, w.seq) AS writer FROM s r JOIN s w ON r.op = 'READ' AND w.op = 'WRITE' AND r.item = w.item AND w.seq < r.seq LEFT JOIN en ON en.txn = w.txn
+    WHERE en.aborted IS NULL OR en.aborted > r.seq GROUP BY r.seq, r.txn, r.item)"""
+
+
+@query(f"""WITH {_READS_FROM} SELECT rf.seq::DOUBLE AS seq, rf.txn, rf.item, writer FROM rf LEFT JOIN en ON en.txn = writer WHERE writer <> rf.txn AND (en.committed IS NULL OR en.committed > rf.seq)""")
+def iso_dirty_reads(spark, sf):
+    return schedules.dirty_reads(_ended(spark, sf))
+
+
+@query(f"""WITH {_READS_FROM}, other AS (SELECT rf.*, w.committed AS wc, r.committed AS rc FROM rf LEFT JOIN en w ON w.txn = writer LEFT JOIN en r ON r.txn = rf.txn WHERE writer <> rf.txn)
+    SELECT NOT EXISTS (SELECT 1 FROM other WHERE rc IS NOT NULL AND (wc IS NULL OR wc > rc)) AS recoverable, NOT EXISTS (SELECT 1 FROM other WHERE wc IS NULL OR wc > seq) AS cascadeless,
+    NOT EXISTS (SELECT 1 FROM s a JOIN s b ON a.op = 'WRITE' AND a.item = b.item AND a.txn <> b.txn AND a.seq < b.seq LEFT JOIN en ON en.txn = a.txn WHERE en.ended IS NULL OR en.ended > b.seq) AS strict""")
+def recovery_classes(spark, sf):
+    found = schedules.recovery_classes(_ended(spark, sf))
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} boolean" for k in found))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS x, event_id % 25 AS y FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+    r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT EXISTS (SELECT 1 FROM r WHERE x = y) AS deadlock, EXISTS (SELECT 1 FROM r WHERE x = y AND x > 1000000) AS ordered_deadlock""")
+def deadlock_cycle(spark, sf):
+    """Waits between users and a few holders; and waits that all go one way, which cannot deadlock."""
+    events = table(spark, sf, "events")
+    first = events.agg(F.min("event_type")).first()[0]
+    waits = events.filter(F.col("event_type") == first).select(F.col("user_id").alias("before"), (F.col("event_id") % 25).alias("after")).distinct()
+    ordered = events.select((F.col("user_id") % 5).alias("before"), (F.col("user_id") % 5 + 1).alias("after")).distinct()
+    return spark.createDataFrame([(schedules.has_deadlock(waits), schedules.has_deadlock(ordered))], "deadlock boolean, ordered_deadlock boolean")
+
+
 @query(f"""WITH s AS ({_SCHEDULE_SQL}), t AS (SELECT txn, min(seq) AS started, max(seq) AS committed FROM s GROUP BY txn), w AS (SELECT DISTINCT txn, item, started, committed FROM s JOIN t USING (txn) WHERE op = 'WRITE')
     SELECT DISTINCT a.txn FROM w a JOIN w b ON a.item = b.item AND a.txn <> b.txn AND b.committed > a.started AND b.committed < a.committed""")
 def ssi_first_committer(spark, sf):
@@ -602,11 +670,17 @@ def ssi_first_committer(spark, sf):
     return schedules.first_committer_losers(runs, s.filter("op = 'WRITE'"))
 
 
-@query(f"""WITH s AS ({_SCHEDULE_SQL}), e AS (SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM s r JOIN s w ON r.item = w.item AND r.txn <> w.txn AND r.op = 'READ' AND w.op = 'WRITE' AND w.item * 7 % 50 BETWEEN 10 AND 30 AND r.txn < 20)
+_HALVES = "SELECT event_id AS seq, event_id % 40 AS txn, CASE WHEN event_id % 40 < 10 THEN 'READ' WHEN event_id % 40 >= 30 THEN 'WRITE' WHEN event_id % 3 = 0 THEN 'WRITE' ELSE 'READ' END AS op, user_id AS item FROM events"
+
+
+@query(f"""WITH s AS ({_HALVES}), e AS (SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM s r JOIN s w ON r.item = w.item AND r.txn <> w.txn AND r.op = 'READ' AND w.op = 'WRITE' AND w.item * 7 % 50 BETWEEN 10 AND 30)
     SELECT DISTINCT writer AS txn FROM e WHERE writer IN (SELECT reader FROM e)""")
 def ssi_pivots(spark, sf):
-    s = _schedule(spark, sf)
-    reads = s.filter("op = 'READ' and txn < 20").select("txn", "item", F.lit(10).alias("low"), F.lit(30).alias("high")).distinct()
+    """All transactions, of which some only read, some only write and the others do both."""
+    txn = F.col("event_id") % 40
+    op = F.when(txn < 10, "READ").when((txn >= 30) | (F.col("event_id") % 3 == 0), "WRITE").otherwise("READ")
+    s = table(spark, sf, "events").select(F.col("event_id").alias("seq"), txn.alias("txn"), op.alias("op"), F.col("user_id").alias("item"))
+    reads = s.filter("op = 'READ'").select("txn", "item", F.lit(10).alias("low"), F.lit(30).alias("high")).distinct()
     writes = s.filter("op = 'WRITE'").select("txn", "item", (F.col("item") * 7 % 50).alias("value")).distinct()
     return schedules.dangerous_pivots(schedules.predicate_edges(reads, writes))
 
@@ -634,3 +708,59 @@ def state_search(spark, sf):
     steps = nation.select(F.col("n_nationkey").alias("state"), F.col("n_regionkey").alias("next")).union(nation.select("n_regionkey", (F.col("n_nationkey") * 3) % 25)).distinct()
     start = spark.createDataFrame([(24,)], "state int")
     return requests.reachable_states(start, steps, 4)
+
+
+# Statements, snapshots and files: each writes into the shared folder and reads back.
+
+
+def _engine(spark: SparkSession, sf: str) -> Engine:
+    return Engine(spark, Catalog.of_parquet(spark, sf, ["supplier"]), SnapshotStore(spark, scratch(spark, "store")))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 'moved; away' ELSE s_name END AS s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey NOT IN (5, 7)
+    UNION ALL SELECT 1000001, 'new one', 4, 1.5""")
+def dml_statements(spark, sf):
+    engine = _engine(spark, sf)
+    engine.execute("UPDATE supplier SET s_name = 'moved; away' WHERE s_nationkey = 3; DELETE FROM supplier WHERE s_nationkey = 5")
+    engine.execute("BEGIN; DELETE FROM supplier WHERE s_nationkey = 7; SAVEPOINT kept; DELETE FROM supplier WHERE s_nationkey = 9; ROLLBACK TO kept; COMMIT")
+    engine.execute("BEGIN; DELETE FROM supplier WHERE s_nationkey = 11; ABORT; INSERT INTO supplier VALUES (1000001, 'new one', 4, 1.5)")
+    return engine.execute("{*} FROM supplier").rows
+
+
+@query("SELECT * FROM supplier")
+def image_copy_restore(spark, sf):
+    engine = _engine(spark, sf)
+    engine.execute("IMAGE COPY; DELETE FROM supplier WHERE s_nationkey = 3; UPDATE supplier SET s_name = lost WHERE s_nationkey = 4")
+    engine.restore_image()
+    return engine.execute("{*} FROM supplier").rows
+
+
+@query("SELECT * FROM nation")
+def load_bar_text(spark, sf):
+    path = scratch(spark, "lines")
+    text_files.write_tables(table(spark, sf, "nation"), "nation", path)
+    catalog = Catalog(spark)
+    catalog.create("nation", [("n_nationkey", "INT"), ("n_name", "STRING"), ("n_regionkey", "INT")])
+    text_files.read_tables(spark, path, catalog)
+    return catalog.table("nation").rows()
+
+
+@query("SELECT key, CAST(sum(value) AS BIGINT) AS total FROM (SELECT CAST(o_custkey AS INTEGER) AS key, CAST(o_orderkey AS INTEGER) AS value FROM orders) GROUP BY key")
+def load_pairs(spark, sf):
+    path = scratch(spark, "pairs")
+    table(spark, sf, "orders").select(F.concat_ws("\t ", "o_custkey", "o_orderkey")).write.text(path)
+    return text_files.read_pairs(spark, path).groupBy("key").agg(F.sum("value").alias("total"))
+
+
+@query("SELECT text, count(*) AS n FROM (SELECT replace(replace(p_name, chr(10), ' '), chr(13), ' ') AS text FROM part) GROUP BY text")
+def load_documents(spark, sf):
+    path = scratch(spark, "documents")
+    table(spark, sf, "part").select(F.translate("p_name", "\n\r", "  ")).write.text(path)
+    return text_files.read_documents(spark, path).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part")
+def columnar_file(spark, sf):
+    path = scratch(spark, "columns")
+    text_files.write_columns(table(spark, sf, "part"), path)
+    return spark.read.parquet(path).select("p_partkey", "p_brand", "p_size")

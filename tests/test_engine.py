@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 from loomquery.catalog import Catalog, CatalogError
 from loomquery.engine import Engine
-from loomquery.operators.snapshots import SnapshotStore
+from loomquery.operators.snapshots import SnapshotStore, WriteConflict
 from loomquery.sources import text_files
 from loomquery.streaming import requests as streams
 
@@ -47,6 +47,25 @@ def test_transactions_and_savepoints(engine):
         engine.execute("BEGIN; ROLLBACK TO nowhere")
 
 
+def test_lost_updates_are_refused(engine, spark):
+    other = Engine(spark, engine.catalog, engine.store)
+    engine.execute("UPDATE seats SET status = open WHERE id = 3")
+    engine.execute("BEGIN; UPDATE seats SET status = sold WHERE id = 1")
+    other.execute("DELETE FROM seats WHERE id = 2")
+    with pytest.raises(WriteConflict):
+        engine.execute("COMMIT")
+    assert engine.store.read("seats").count() == 2 and engine.store.read("seats").filter("status = 'sold'").isEmpty()
+
+
+def test_image_copy_is_restored(engine):
+    before = seats(engine)
+    engine.execute("IMAGE COPY; DELETE FROM seats WHERE id = 1; UPDATE seats SET status = gone WHERE id = 2")
+    assert seats(engine) != before
+    assert engine.restore_image() == ["seats"] and seats(engine) == before
+    engine.execute("INSERT INTO seats VALUES (4, 8, 'x;y', open)")
+    assert (4, 8, "x;y", "open") in seats(engine)
+
+
 def test_explain_analyze_and_sample(engine):
     engine.execute("ANALYZE seats")
     lines = engine.execute("EXPLAIN PROJECT {a.id} FROM seats AS a JOIN seats AS b ON {a.flight} = {b.flight} WHERE {b.status} = held").lines

@@ -6,6 +6,7 @@ import pytest
 from loomquery.operators import encodings, requests, schedules, text_index, vectors
 from loomquery.operators.aggregates import aggregate
 from loomquery.operators.joins import equi_join, filtered_by
+from loomquery.operators.ordering import ordered_positions
 
 OPS = {"r": "READ", "w": "WRITE", "c": "COMMIT", "a": "ABORT"}
 
@@ -154,3 +155,37 @@ def test_a_long_chain_is_no_cycle(spark):
     assert schedules.cyclic_nodes(chain).count() == 0
     with pytest.raises(RuntimeError):
         schedules.cyclic_nodes(chain, max_rounds=3)
+
+
+def test_reads_from_against_all_writes(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        parts = [f"{rng.choice('rw')}{rng.randint(1, 6)}{rng.choice('xy')}" for _ in range(60)]
+        for t, op in ((1, "a"), (2, "a"), (3, "c"), (4, "c"), (5, "a")):
+            parts.insert(rng.randint(5, len(parts)), f"{op}{t}")
+        rows = [(i, int(s[1]), s[0], s[2:]) for i, s in enumerate(parts)]
+        end = {}
+        for i, t, op, _ in rows:
+            if op in "ac":
+                end.setdefault(t, (op, i))
+        want = {}
+        for i, t, op, item in rows:
+            if op == "r":
+                valid = [(j, u) for j, u, o, x in rows if o == "w" and x == item and j < i and not (end.get(u, "c")[0] == "a" and end[u][1] < i)]
+                want[i] = max(valid)[1] if valid else None
+        got = schedules.reads_from(schedule(spark, " ".join(parts)))
+        assert {r["seq"]: r["writer"] for r in got.collect()} == want
+        loose = any(a[2] == "w" and b[2] in "rw" and a[3] == b[3] and a[1] != b[1] and a[0] < b[0] and (a[1] not in end or end[a[1]][1] > b[0]) for a in rows for b in rows)
+        assert schedules.recovery_classes(schedule(spark, " ".join(parts)))["strict"] == (not loose)
+
+
+def test_ordered_positions(spark):
+    rng = random.Random(8)
+    for rows in ([], [("a", 3)], [(str(rng.random()), rng.randint(1, 5)) for _ in range(500)]):
+        df = spark.createDataFrame(rows, "v string, n long")
+        total, want = 0, {}
+        for v, n in sorted(rows):
+            want[v] = total
+            total += n
+        assert {r["v"]: r["position"] for r in ordered_positions(df, "v", "n", 16).collect()} == want
+        assert {r["v"]: r["position"] for r in ordered_positions(df, "v").collect()} == {v: i for i, (v, _) in enumerate(sorted(rows))}

@@ -27,3 +27,9 @@ def test_query_matches_its_sql(spark, sf_dir, db, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
+
+
+@pytest.mark.parametrize(("name", "keys"), [("sort_single", ["s_acctbal", "s_suppkey"]), ("sort_multi", ["p_brand", "p_size", "p_partkey"])])
+def test_sorted_results_are_in_order(spark, sf_dir, name, keys):
+    rows = [tuple(r[k] for k in keys) for r in QUERIES[name](spark, sf_dir).collect()]
+    assert rows == sorted(rows) and len(rows) > 5
