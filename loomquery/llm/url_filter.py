@@ -119,15 +119,18 @@ def template_tree(labelled: DataFrame, options: TreeOptions = TreeOptions()) ->
     tree = materialise(paths.select("host", "lexical", F.lit("").alias("template"), segments.alias("segments"), "n", "nb", "na"), "tree")
     levels = tree.agg(F.max(F.size("segments")).alias("d")).first()["d"] or 0
     sums = [F.sum(c).alias(c) for c in ("n", "nb", "na")]
+    pure = {"block": F.col("nb") == F.col("n"), "allow": F.col("na") == F.col("n"), "none": F.col("nb") + F.col("na") == 0}
     for level in range(levels):
         segment = F.get("segments", F.lit(level))
         children = tree.filter(F.size("segments") > level).groupBy("host", "template", segment.alias("segment")).agg(*sums)
         parents = children.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("nb").alias("pb"), F.sum("na").alias("pa")
+            F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("nb").alias("pb"), F.sum("na").alias("pa"), *(F.count(F.when(c, 1)).alias(f"k_{name}") for name, c in pure.items())
         )
         alike = (F.col("k") > 1) & (_chi_square() < options.merge_below) & (_distance() <= options.merge_distance)
-        pure = F.when(F.col("nb") == F.col("n"), "*block").when(F.col("na") == F.col("n"), "*allow").when(F.col("nu") == F.col("n"), "*none")
-        step = F.coalesce(F.when(alike, "*"), pure, "segment")
+        step = F.when(alike, "*")
+        for name, condition in pure.items():
+            step = step.when(condition & (F.col(f"k_{name}") > 1), f"*{name}")
+        step = step.otherwise(F.col("segment"))
         choice = (
             children.join(parents, ["host", "template"])
             .withColumns({"nu": F.col("n") - F.col("nb") - F.col("na"), "pu": F.col("pn") - F.col("pb") - F.col("pa")})
