@@ -290,13 +290,13 @@ class PrefixOrder:
 
 
 def tree_members(docs: DataFrame, frequent: np.ndarray, options: JoinOptions) -> DataFrame:
-    """(key, s1) of all sets that share a prefix shingle with another set."""
+    """(key, s1) of all sets that share a prefix shingle with another set, each once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = PrefixOrder(frequent)
-        seen: set[int] = set()  # sets of this input partition: copies are emitted once
         for batch in batches:
             keys, owners, held = [], [], 0
+            seen: set[int] = set()  # copies within a batch are emitted once; what is left of them goes when keys are sorted
             for hashes in _sets(batch.column(0), options):
                 if not len(hashes):
                     continue
@@ -354,8 +354,8 @@ def _rebuilt_sets(names: DataFrame, classes: DataFrame, docs: DataFrame, options
         wanted = F.broadcast(wanted)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # rows that repeat are sent once by a task
         for batch in batches:
+            seen: set[tuple[int, int]] = set()  # rows that repeat within a batch are sent once
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
             some = batch.take(pa.array(new, pa.int64()))
