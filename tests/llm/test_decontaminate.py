@@ -90,3 +90,24 @@ def test_odd_rows(spark):
     assert got == [("1", []), ("2", []), ("3", [1, 1]), ("3", [1, 1]), ("3", [1, 1]), ("4", [1, 1]), ("5", []), ("None", [1, 1])]
     assert with_leaks(docs_frame(spark, []), table).count() == 0
     assert with_leaks(docs_frame(spark, rows), spark.createDataFrame([], ITEM)).filter("size(leaks) > 0").count() == 0
+
+
+def test_recall_of_edited_copies_in_own_documents(spark, sf_dir):
+    """Benchmark items with some 15 % of their words replaced, dropped or doubled, put into documents that hold no item."""
+    rng = random.Random(21)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    texts = {r["item_id"]: r["text"].split() for r in items.collect() if len(r["text"].split()) >= 12}
+    clean = [r["text"] for r in with_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"), items).filter("size(leaks) = 0 and length(text) > 400").collect()]
+    rows = []
+    for item, words in texts.items():
+        copy = []
+        for w in words:
+            chance = rng.random()
+            copy += [w] if chance > 0.15 else [rng.choice(words[::-1])] if chance > 0.08 else [] if chance > 0.04 else [w, w]
+        host = rng.choice(clean).split(" ")
+        at = rng.randrange(len(host))
+        rows.append((item, " ".join(host[:at] + copy + host[at:])))
+    got = with_leaks(spark.createDataFrame(rows, "planted long, text string").repartition(3), items, options=LeakOptions(block_grams=500)).collect()
+    found = sum(r["planted"] in {x["item_id"] for x in r["leaks"]} for r in got)
+    extra = sum(len({x["item_id"] for x in r["leaks"]} - {r["planted"]}) for r in got)
+    assert len(got) == len(rows) >= 10 and found >= 0.9 * len(rows) and extra <= 0.1 * len(rows), (found, extra, len(rows))
