@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 ACCESS = ("READ", "WRITE")
+BROADCAST_ROWS = 200_000  #: nodes; a side of more is shuffled
 
 
 def conflict_edges(schedule: DataFrame) -> DataFrame:
@@ -29,6 +30,25 @@ def conflict_edges(schedule: DataFrame) -> DataFrame:
     return first.join(last, both & writes).select(F.col("a.txn").alias("before"), F.col("b.txn").alias("after")).distinct()
 
 
+def conflict_steps(schedule: DataFrame) -> DataFrame:
+    """Conflict edges (before, after) through which every other one leads: the same nodes reach each other, with two edges an access.
+
+    Of an item, each write leads to the accesses up to the next one that is written at, and each read to
+    that next write; a conflict of accesses farther apart is a path through the writes between them.
+    """
+    access = schedule.filter(F.col("op").isin(*ACCESS) & F.col("item").isNotNull() & F.col("txn").isNotNull() & F.col("seq").isNotNull())
+    told = F.struct("txn", (F.col("op") == "WRITE").alias("write"))
+    moments = access.groupBy("item", "seq").agg(F.collect_set(told).alias("all")).withColumn("written", F.exists("all", lambda a: a["write"]).cast("long"))
+    earlier = Window.partitionBy("item").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = moments.withColumn("at", F.coalesce(F.sum("written").over(earlier), F.lit(0)))  # moments of writes before
+    each = cut(numbered.select("item", "at", "written", F.explode("all").alias("a")).select("item", "at", "written", "a.txn", "a.write").distinct())
+    writes = each.filter("write")
+    forth = writes.select("item", (F.col("at") + 1).alias("at"), F.col("txn").alias("before")).join(each.select("item", "at", F.col("txn").alias("after")), ["item", "at"])
+    reads = each.filter("not write").select("item", (F.col("at") + F.col("written")).alias("at"), F.col("txn").alias("before"))
+    onto = reads.join(writes.select("item", "at", F.col("txn").alias("after")), ["item", "at"])
+    return forth.unionByName(onto).filter("before != after").select("before", "after").distinct()
+
+
 def cyclic_nodes(edges: DataFrame, before: str = "before", after: str = "after", max_rounds: int = 1000) -> DataFrame:
     """Nodes left after peeling off, round by round, all that lack a predecessor or a successor: empty iff there is no cycle.
 
@@ -36,22 +56,23 @@ def cyclic_nodes(edges: DataFrame, before: str = "before", after: str = "after",
     chain loses a node at each end a round; one too long for ``max_rounds`` is an error,
     as what is left then says nothing of cycles.
     """
-    rest = edges.select(F.col(before).alias("x"), F.col(after).alias("y")).distinct()
-    count = rest.count()
+    links = cut(edges.select(F.col(before).alias("x"), F.col(after).alias("y")).distinct())
+    rest, count = links, None
+    ends = F.explode(F.array(F.struct(F.col("x").alias("n"), F.lit(1).alias("end")), F.struct(F.col("y").alias("n"), F.lit(2).alias("end"))))
     for _ in range(max_rounds):
-        sources, targets = rest.select(F.col("x").alias("n")).distinct(), rest.select(F.col("y").alias("n")).distinct()
-        inner = sources.join(targets, "n", "left_semi")
-        rest = rest.join(inner.select(F.col("n").alias("x")), "x", "left_semi").join(inner.select(F.col("n").alias("y")), "y", "left_semi").select("x", "y")
-        rest = cut(rest)
-        left = rest.count()
+        # Only nodes are written each round; the edges stay, and those of nodes that are gone are passed over.
+        inner = cut(rest.select(ends.alias("e")).groupBy("e.n").agg(F.bit_or("e.end").alias("ends")).filter("ends = 3").select("n"))
+        left = inner.count()
         if left == count or not left:
-            return rest.select(F.col("x").alias("node")).distinct()
+            return inner.toDF("node")
         count = left
+        few = F.broadcast(inner) if left <= BROADCAST_ROWS else inner
+        rest = links.join(few.toDF("x"), "x", "left_semi").join(few.toDF("y"), "y", "left_semi").select("x", "y")
     raise RuntimeError(f"cycles did not settle in {max_rounds} rounds")
 
 
 def is_conflict_serializable(schedule: DataFrame) -> bool:
-    return cyclic_nodes(conflict_edges(schedule)).isEmpty()
+    return cyclic_nodes(conflict_steps(schedule)).isEmpty()
 
 
 def has_deadlock(waits_for: DataFrame) -> bool:

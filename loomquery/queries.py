@@ -611,7 +611,7 @@ _NEAR = "SELECT event_id AS seq, event_id // 40 + event_id % 2 AS txn, CASE WHEN
 def schedule_cycles(spark, sf):
     """Transactions of 40 operations, each interleaved with the next."""
     near = _schedule(spark, sf).withColumn("txn", F.expr("seq div 40 + seq % 2"))
-    return schedules.cyclic_nodes(schedules.conflict_edges(near))
+    return schedules.cyclic_nodes(schedules.conflict_steps(near))
 
 
 @query(f"""WITH s AS ({_SCHEDULE_SQL}), w AS (SELECT *, coalesce(last_value(CASE WHEN op = 'WRITE' THEN txn END IGNORE NULLS) OVER (PARTITION BY item ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM s),

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomquery.operators import encodings, requests, schedules, text_index, vectors
 from loomquery.operators.aggregates import aggregate
@@ -38,6 +39,30 @@ def test_conflict_edges_against_all_pairs(spark):
         assert edges(spark, text) == want
 
 
+def reached(edges):
+    """Transitive closure."""
+    out = set(edges)
+    while more := {(a, d) for a, b in out for c, d in out if b == c} - out:
+        out |= more
+    return out
+
+
+def test_conflict_steps_reach_what_conflicts_do(spark):
+    rng = random.Random(6)
+    for moments in (60, 12):  # the second time, accesses at one moment do not conflict
+        rows = [(rng.randrange(moments), rng.randint(1, 9), rng.choice(("READ", "READ", "WRITE")), rng.choice("xyz")) for _ in range(40)]
+        rows += [(3, None, "WRITE", "x"), (5, 2, "WRITE", None)]
+        s = spark.createDataFrame(rows, "seq long, txn long, op string, item string")
+        steps, conflicts = ({tuple(r) for r in f(s).collect()} for f in (schedules.conflict_steps, schedules.conflict_edges))
+        assert steps <= conflicts
+        assert {p for p in reached(steps) if p[0] != p[1]} == {p for p in reached(conflicts) if p[0] != p[1]}
+
+
+def test_conflict_steps_do_not_grow_with_pairs(spark):
+    s = schedule(spark, "w1x").select(F.explode(F.sequence(F.lit(0), F.lit(299))).alias("seq")).select("seq", (F.col("seq") % 100).alias("txn"), F.lit("WRITE").alias("op"), F.lit("x").alias("item"))
+    assert schedules.conflict_steps(s).count() == 100 < schedules.conflict_edges(s).count()
+
+
 def test_deadlock(spark):
     waits = lambda *e: spark.createDataFrame(list(e), "before long, after long")
     assert schedules.has_deadlock(waits((1, 2), (2, 3), (3, 1), (4, 1)))
