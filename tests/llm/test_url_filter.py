@@ -78,3 +78,19 @@ def test_rare_branches_merge_only_within_a_label(spark):
     assert {tree[f"/d{i}/<n>"]["verdict"] for i in range(70)} == {"allow"}
     assert tree["/en/<n>"]["verdict"] == "block" and tree["/en/<n>"]["blocked"] == 3
     assert len({tree[f"/ok{i}/<n>"]["template"] for i in range(3)}) == 1
+
+
+def test_rules_are_those_of_the_contract(spark):
+    """The list and the verdicts are written out here, so that a wrong word in ``RULES`` shows."""
+    assert {(r.action, r.text) for r in RULES} == {("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")}
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"),
+        "http://b.example.com/en/71": ("example.com/en/7", "allow"),
+        "http://a.net/de/1": ("net/de/", "allow"),
+        "http://net/de/": ("net/de/", "allow"),
+        "http://example.net/de/9": ("net/de/", "allow"),
+        "http://b.example.net/de/81": ("example.net/de/8", "block"),
+        "http://a.org/es/1": ("org/es/", "block"),
+    }
+    got = filter_urls(pages(spark, list(want))).select("page_id", "rule", "verdict").collect()
+    assert {list(want)[r["page_id"]]: (r["rule"], r["verdict"]) for r in got} == want
