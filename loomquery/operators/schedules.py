@@ -14,6 +14,8 @@ from .lineage import cut
 
 ACCESS = ("READ", "WRITE")
 BROADCAST_ROWS = 200_000  #: nodes; a side of more is shuffled
+FEW_ROUNDS = 4  #: of peeling, before what is left goes to one task,
+TASK_EDGES = 16_000_000  #: if it has no more edges than this, some 50 bytes each
 
 
 def conflict_edges(schedule: DataFrame) -> DataFrame:
@@ -53,13 +55,16 @@ def cyclic_nodes(edges: DataFrame, before: str = "before", after: str = "after",
     """Nodes left after peeling off, round by round, all that lack a predecessor or a successor: empty iff there is no cycle.
 
     The rest holds every cycle and the nodes on paths between cycles.  An acyclic
-    chain loses a node at each end a round; one too long for ``max_rounds`` is an error,
-    as what is left then says nothing of cycles.
+    chain loses a node at each end a round, so what is left after a few rounds and
+    fits one task is peeled to the end there, in time linear in its edges.  One too
+    long for ``max_rounds`` is an error, as what is left then says nothing of cycles.
     """
     links = cut(edges.select(F.col(before).alias("x"), F.col(after).alias("y")).distinct())
     rest, count = links, None
     ends = F.explode(F.array(F.struct(F.col("x").alias("n"), F.lit(1).alias("end")), F.struct(F.col("y").alias("n"), F.lit(2).alias("end"))))
-    for _ in range(max_rounds):
+    for done in range(max_rounds):
+        if done == FEW_ROUNDS and rest.count() <= TASK_EDGES:
+            return _peeled(rest)
         # Only nodes are written each round; the edges stay, and those of nodes that are gone are passed over.
         inner = cut(rest.select(ends.alias("e")).groupBy("e.n").agg(F.bit_or("e.end").alias("ends")).filter("ends = 3").select("n"))
         left = inner.count()
@@ -71,6 +76,43 @@ def cyclic_nodes(edges: DataFrame, before: str = "before", after: str = "after",
     raise RuntimeError(f"cycles did not settle in {max_rounds} rounds")
 
 
+def _peeled(links: DataFrame) -> DataFrame:
+    """``cyclic_nodes`` of no more than ``TASK_EDGES`` edges (x, y) without nulls, in one task."""
+    import numpy as np
+    import pyarrow as pa
+
+    def neighbours(nodes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct other ends of the nodes' edges, and how many edges lead there."""
+        sizes = starts[nodes + 1] - starts[nodes]
+        places = np.repeat(starts[nodes] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.unique(ends[places], return_counts=True)
+
+    def peel(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        both = pa.chunked_array(table["x"].chunks + table["y"].chunks).combine_chunks().dictionary_encode()
+        x, y = np.split(both.indices.to_numpy(), 2)
+        n = len(both.dictionary)
+        degrees = [np.bincount(e, minlength=n) for e in (y, x)]  # edges in and out of a node
+        starts = [np.concatenate(([0], np.cumsum(d))) for d in degrees]
+        order = [y[np.argsort(x, kind="stable")], x[np.argsort(y, kind="stable")]]
+        left = np.ones(n, bool)
+        gone = np.flatnonzero((degrees[0] == 0) | (degrees[1] == 0))
+        while gone.size:
+            left[gone] = False
+            met = []
+            for lost, start, other in ((degrees[0], starts[1], order[0]), (degrees[1], starts[0], order[1])):
+                nodes, edges = neighbours(gone, start, other)
+                lost[nodes] -= edges
+                met.append(nodes[left[nodes] & (lost[nodes] == 0)])
+            gone = np.unique(np.concatenate(met))
+        yield pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(np.flatnonzero(left)))], names=["node"])
+
+    return cut(links.repartition(1).mapInArrow(peel, f"node {links.schema['x'].dataType.simpleString()}"))
+
+
 def is_conflict_serializable(schedule: DataFrame) -> bool:
     return cyclic_nodes(conflict_steps(schedule)).isEmpty()
 

@@ -182,6 +182,26 @@ def test_a_long_chain_is_no_cycle(spark):
         schedules.cyclic_nodes(chain, max_rounds=3)
 
 
+def test_long_chains_settle_in_few_rounds(spark):
+    """Chains before, between and after two cycles, far longer than the rounds allowed."""
+    links = [(i, i + 1) for i in range(300)] + [(102, 100), (203, 200)]
+    got = sorted(r["node"] for r in schedules.cyclic_nodes(spark.createDataFrame(links, "before long, after long"), max_rounds=20).collect())
+    assert got == list(range(100, 204))
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(300)], "before string, after string")
+    assert schedules.cyclic_nodes(chain, max_rounds=20).count() == 0
+
+
+def test_peeling_in_a_task_is_the_rounds_result(spark):
+    rng = random.Random(12)
+    for n in (30, 60):
+        links = {(rng.randrange(n), rng.randrange(n)) for _ in range(n)}
+        frame = spark.createDataFrame(sorted(links), "x long, y long")
+        nodes = set(range(n))
+        while (rest := {v for v in nodes if any(y == v and x in nodes for x, y in links) and any(x == v and y in nodes for x, y in links)}) != nodes:
+            nodes = rest
+        assert {r["node"] for r in schedules._peeled(frame).collect()} == nodes
+
+
 def test_reads_from_against_all_writes(spark):
     rng = random.Random(6)
     for _ in range(3):
